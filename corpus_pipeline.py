@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash_bk, subsequence_svm
+from quarry.llm import bound_packing, line_edit_join, simhash_bk, source_mixing, subsequence_svm
 from quarry.llm.queries import fold
 from quarry.llm.runtime import Workspace
 
@@ -21,7 +21,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_bk.keep_first(spark, docs)
 
 
-STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_duplicates)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, but for two edits, go from the texts; every document stays."""
+    return line_edit_join.dedup(spark, docs).drop("__lines", "__kept")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those it does not take go."""
+    return source_mixing.repeat_documents(spark, docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece: where it lies in which sequence."""
+    return bound_packing.pack_documents(spark, docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash_near_dedup", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

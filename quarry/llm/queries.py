@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bound_packing, huffman_ids, multiprobe_lsh, pu_quality, simhash_bk, source_mixing, subsequence_svm, taat_topk, warc_salvage
+from quarry.llm import bound_packing, huffman_ids, line_edit_join, multiprobe_lsh, pu_quality, simhash_bk, source_mixing, subsequence_svm, taat_topk, warc_salvage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(subsequence_svm.score(spark, documents, model), fold(3) == 1, 0.7)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_edit_join.dedup(spark, _table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__kept").alias("n_kept"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_salvage.round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -65,6 +70,7 @@ def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality": op5_quality,
@@ -89,11 +95,11 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op4_exact_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
-            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id,
-                   CAST(list_sum(list_transform(generate_series(1, len(q.w)), i -> q.w[i] * c.w[i])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(generate_series(1, len(q.w)), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
         ), r AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
