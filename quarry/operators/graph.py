@@ -39,13 +39,13 @@ def walk(calls: DataFrame, root: DataFrame, depth: int = DEPTH) -> DataFrame:
 def build(calls: DataFrame, root: DataFrame, files: DataFrame, chunks: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """(nodes ``id, symbol, file, line, depth, target_kind``, edges ``from, to, call_line, call_column``).
 
-    A node is a chunk, or the label and kind of an unresolved target.  Ids count from 1 in the order of
+    Nodes and edges come from one walk, which is kept while they are read.  A node is a chunk, or the label and kind of an unresolved target.  Ids count from 1 in the order of
     depth, calling chunk, line and column.  The graph of one root is bounded by its reach, so nodes are numbered in one window.
     """
     edges = walk(calls, root, depth)
     name = label(F.col("callee_name"), F.col("receiver"))
     key = F.when(F.col("resolved_chunk_id").isNotNull(), F.concat(F.lit("#"), F.col("resolved_chunk_id").cast("string"))).otherwise(F.concat_ws("|", F.lit("?"), "target_kind", name))
-    edges = edges.withColumn("key", key).withColumn("name", name).withColumn("order", F.struct("depth", "caller_chunk_id", "call_line", "call_column", "call_id"))
+    edges = edges.withColumn("key", key).withColumn("name", name).withColumn("order", F.struct("depth", "caller_chunk_id", "call_line", "call_column", "call_id")).persist()
     start = root.select(F.concat(F.lit("#"), F.col("chunk_id").cast("string")).alias("key"), F.col("chunk_id").alias("node_chunk"), F.lit(None).cast("string").alias("name"), F.lit("project").alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["order"].dataType).alias("order"))
     met = edges.select("key", F.col("resolved_chunk_id").alias("node_chunk"), "name", F.col("target_kind").alias("kind"), (F.col("depth") + 1).alias("depth"), "order")
     firsts = start.unionByName(met).groupBy("key").agg(F.min(F.struct("depth", "order", "node_chunk", "name", "kind")).alias("f")).select("key", "f.*")

@@ -162,11 +162,15 @@ class Index:
         return self.scores(parsed).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _shift(by: int):
+    return lambda p: p - by
+
+
 def _phrase(hits: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """``id, field, tf``: how often the terms follow each other."""
     by_term = hits.groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     starts = F.try_element_at("at", F.lit(terms[0]))
     for i, t in enumerate(terms[1:], 1):
         there = F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>"))
-        starts = F.filter(starts, lambda p, there=there, i=i: F.array_contains(there, p + i))
+        starts = F.array_intersect(starts, F.transform(there, _shift(i)))
     return by_term.select("id", "field", F.size(starts).alias("tf")).where("tf > 0")

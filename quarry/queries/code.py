@@ -29,7 +29,7 @@ def unique_symbol_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_symbol_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' names by nation as symbols by file."""
-    chunks = C.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file_id"), F.col("c_mktsegment").alias("symbol"), F.col("c_custkey").alias("chunk_id"))
+    chunks = C.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file_id"), F.concat("c_mktsegment", (F.col("c_custkey") % 12).cast("string")).alias("symbol"), F.col("c_custkey").alias("chunk_id"))
     return resolve.unique_symbols_in_file(chunks)
 
 
@@ -127,19 +127,21 @@ def _root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caller with most different other targets, then the lowest id."""
     targets = _resolved(spark, sf_dir).where("resolved_chunk_id <> caller_chunk_id")
     best = targets.groupBy("caller_chunk_id").agg(F.countDistinct("resolved_chunk_id").alias("n")).orderBy(F.desc("n"), "caller_chunk_id").limit(1)
-    return best.select(F.col("caller_chunk_id").alias("chunk_id"))
+    found = best.collect()  # one row: the walk starts from a known chunk
+    return spark.createDataFrame([(r["caller_chunk_id"],) for r in found], "chunk_id long")
 
 
 def callgraph_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.frontiers(_resolved(spark, sf_dir), _root(spark, sf_dir), DEPTH).groupBy("depth").agg(F.count("*").alias("n"))
+    return graph.frontiers(_resolved(spark, sf_dir).persist(), _root(spark, sf_dir), DEPTH).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return graph.build(_classified(spark, sf_dir), _root(spark, sf_dir), C.files(spark, sf_dir), C.documents(spark, sf_dir), DEPTH)
+    calls = _classified(spark, sf_dir).persist()  # every level of the walk reads them
+    return graph.build(calls, _root(spark, sf_dir), C.files(spark, sf_dir), C.documents(spark, sf_dir), DEPTH)
 
 
 def callgraph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.walk(_classified(spark, sf_dir), _root(spark, sf_dir), DEPTH).select("depth", "caller_chunk_id", "call_id", "resolved_chunk_id", "target_kind")
+    return graph.walk(_classified(spark, sf_dir).persist(), _root(spark, sf_dir), DEPTH).select("depth", "caller_chunk_id", "call_id", "resolved_chunk_id", "target_kind")
 
 
 def callgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +206,7 @@ _WALK = f"""fr AS (
     )"""
 _EDGES = f"{_BASE}, {_ROOT}, {_KINDS}, {_WALK}, edges AS (SELECT depth, k.* FROM fr JOIN kinds k ON k.caller_chunk_id = fr.chunk_id WHERE depth < {DEPTH})"
 _NODES = f"""{_EDGES}, met AS (
-        SELECT chunk_id AS c, NULL AS name, 'project' AS kind, 0 AS depth FROM root
+        SELECT chunk_id AS c, CAST(NULL AS VARCHAR) AS name, 'project' AS kind, 0 AS depth FROM root
         UNION ALL SELECT resolved_chunk_id, CASE WHEN resolved_chunk_id IS NULL THEN callee_name END, target_kind, depth + 1 FROM edges
     )"""
 _CALLERS = """SELECT f.path AS caller_file, 1 AS call_line, r."column" AS call_column, r.callee_name FROM resolved r JOIN files f ON f.file_id = r.caller_chunk_id WHERE {where}"""
@@ -249,7 +251,7 @@ VIA_SQL = f"""
 """
 SQL = {
     "unique_symbol_global": f"WITH {C.FILES_SQL} SELECT symbol, min(file_id) AS chunk_id FROM files WHERE symbol IS NOT NULL GROUP BY 1 HAVING count(*) = 1",
-    "unique_symbol_in_file": "SELECT c_nationkey AS file_id, c_mktsegment AS symbol, min(c_custkey) AS chunk_id FROM customer GROUP BY 1, 2 HAVING count(*) = 1",
+    "unique_symbol_in_file": "SELECT c_nationkey AS file_id, c_mktsegment || (c_custkey % 12) AS symbol, min(c_custkey) AS chunk_id FROM customer GROUP BY 1, 2 HAVING count(*) = 1",
     "only_function_in_file": "SELECT l_orderkey AS file_id, min(l_orderkey * 10 + l_linenumber) AS chunk_id FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) = 1",
     "resolve_calls": f"{_BASE} SELECT call_id, callee_name, resolved_chunk_id FROM resolved",
     "import_paths": IMPORT_PATHS_SQL,

@@ -13,10 +13,11 @@ _FROM, _UNTIL_A, _UNTIL_B = "2024-01-02", "2024-01-03", "2024-01-04"
 
 def snapshot(spark: SparkSession, sf_dir: str, after: str | None, before: str) -> DataFrame:
     """``path, mtime, size, content_hash``: the latest event of each user and type in a span, as a file."""
-    events = C.table(spark, sf_dir, "events").where(F.col("ts") < F.lit(before).cast("timestamp"))
-    events = events if after is None else events.where(F.col("ts") >= F.lit(after).cast("timestamp"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    events = C.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).where(F.col("ts") < at(before))
+    events = events if after is None else events.where(F.col("ts") >= at(after))
     latest = events.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("e"))
-    return latest.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.unix_seconds("e.ts").alias("mtime"), F.length(F.col("e.event_id").cast("string")).cast("long").alias("size"), F.col("e.event_id").alias("content_hash"))
+    return latest.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.timestamp_diff("SECOND", at("1970-01-01"), F.col("e.ts")).alias("mtime"), F.length(F.col("e.event_id").cast("string")).cast("long").alias("size"), F.col("e.event_id").alias("content_hash"))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +56,7 @@ def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.assign_ids(old, new, "path", "file_id", after)
 
 
-_SNAP = "SELECT user_id || '/' || event_type AS path, max_by(event_id, (ts, event_id)) AS content_hash, epoch(max(ts)) // 1 AS mtime FROM events WHERE {where} GROUP BY user_id, event_type"
+_SNAP = "SELECT user_id || '/' || event_type AS path, max_by(event_id, (ts, event_id)) AS content_hash, floor(epoch(max(ts))) AS mtime FROM events WHERE {where} GROUP BY user_id, event_type"
 _SNAPS = f"""s AS ({_SNAP.format(where=f"ts < TIMESTAMP '{_UNTIL_A}'")}), t AS ({_SNAP.format(where=f"ts >= TIMESTAMP '{_FROM}' AND ts < TIMESTAMP '{_UNTIL_B}'")}),
     a AS (SELECT path, content_hash, CAST(mtime AS BIGINT) AS mtime, length(CAST(content_hash AS VARCHAR)) AS size FROM s),
     b AS (SELECT path, content_hash, CAST(mtime AS BIGINT) AS mtime, length(CAST(content_hash AS VARCHAR)) AS size FROM t)"""
