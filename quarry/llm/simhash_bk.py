@@ -142,6 +142,7 @@ def keep_first(spark: SparkSession, documents: DataFrame, radius: int = 2, width
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     firsts = ws.table(firsts.select(F.col("doc_id").alias("__first"), "n"), "firsts")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__first"))
-    single = documents.join(firsts.where("n = 1"), same, "left_semi")
+    # whatever the size, the ids are what is hashed, and the documents stream past them unsorted
+    single = documents.join(firsts.where("n = 1").hint("shuffle_hash"), same, "left_semi")
     several = documents.join(firsts.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several)

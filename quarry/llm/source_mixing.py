@@ -101,7 +101,8 @@ def repeat_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     mixed = mix(spark, documents.withColumn("__mark", mark), ["__mark"])
     wanted = mixed.groupBy("__mark").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
     wanted = ws.table(wanted.withColumnRenamed("__mark", "__m"), "copies")
-    kept = documents.withColumn("__mark", mark).join(wanted, F.col("__mark") == F.col("__m"))
+    # whatever the size, the numbers are what is hashed, and the documents stream past them unsorted
+    kept = documents.withColumn("__mark", mark).join(wanted.hint("shuffle_hash"), F.col("__mark") == F.col("__m"))
     single = kept.where("__rows = 1").withColumn("__n", F.col("__copies"))
     order = Window.partitionBy("__m").orderBy("__m")
     several = kept.where("__rows > 1").withColumn("__i", F.row_number().over(order)).withColumn("__n", F.expr("__copies div __rows + int(__i <= __copies % __rows)")).drop("__i")
