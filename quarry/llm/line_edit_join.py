@@ -40,7 +40,10 @@ def allowed(length: int, edits: int) -> int:
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, size) of the segments of an indexed line: one more than the edits of any partner."""
-    n = min(edits, (length + edits) // 5) + 1
+    return _even(length, min(edits, (length + edits) // 5) + 1)
+
+
+def _even(length: int, n: int) -> list[tuple[int, int]]:
     base, longer = divmod(length, n)
     out, at = [], 0
     for i in range(n):
@@ -55,8 +58,11 @@ def places(length: int, other: int, edits: int) -> list[tuple[int, int, int]]:
 
     With ``i`` segments before the shared one, at most ``i`` edits lie before it and at most ``t - i`` behind it.
     """
-    parts = segments(other, edits)
-    t, shift = len(parts) - 1, length - other
+    return _places(segments(other, edits), length, length - other)
+
+
+def _places(parts: list[tuple[int, int]], length: int, shift: int) -> list[tuple[int, int, int]]:
+    t = len(parts) - 1
     out = []
     for i, (p, size) in enumerate(parts):
         for q in range(max(0, p - i, p + shift - (t - i)), min(length - size, p + i, p + shift + (t - i)) + 1):
@@ -67,6 +73,21 @@ def places(length: int, other: int, edits: int) -> list[tuple[int, int, int]]:
 _PLACES: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
 
 
+def rest_keys(rest: str, edits: int, under: int) -> list[tuple[int, int, int]]:
+    """(key, start, size) below a shared segment, of what remains of a line: two rests within ``edits`` share a key.
+
+    Here the edits do not depend on the length, which is that of a part; rests too short for so many segments
+    share one key with those a little longer.
+    """
+    raw, n, digest = rest.encode("utf-32-le", "surrogatepass"), len(rest), xxhash.xxh3_64_intdigest
+    out = [(under ^ 0x5DEECE66D, 0, 0)] if n <= 2 * edits else []
+    for other in range(max(edits + 1, n - edits), n + 1):
+        parts = _even(other, edits + 1)
+        for i, q, size in _places(parts, n, n - other):
+            out.append((digest(raw[4 * q : 4 * (q + size)], under ^ (other << 3 | i)), q, size))
+    return out
+
+
 def keys_of(text: str, edits: int, under: int = 0) -> list[tuple[int, int, int, int]]:
     """(key, kind, start, size) of a line: kind 0 enters the index (and probes its own place), 1 probes."""
     raw, n, digest = text.encode("utf-32-le", "surrogatepass"), len(text), xxhash.xxh3_64_intdigest
@@ -245,7 +266,7 @@ def links(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int)
     texts = every.join(F.broadcast(wanted) if few else wanted, F.col("line") == F.col("want"), "left_semi")
     texts = ws.table(texts.groupBy("line").agg(F.first("words").alias("words")), "texts")
     members = shared.select("key", F.expr("shiftleft(shiftright(id, 1), 1)").alias("line"), F.col("id").bitwiseAND(F.lit(1)).cast("int").alias("kind"), F.lit(0).alias("depth")).distinct()
-    members = ws.table(members.join(texts, "line").select("key", "kind", "line", "words"), "members")
+    members = ws.table(members.join(texts, "line").select("key", "kind", "line", "words", F.lit(None).cast("string").alias("rest")), "members")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = []
     for depth in range(_DEPTH):
@@ -256,7 +277,7 @@ def links(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int)
         out.append(ws.table(calm.repartition(n, "key").sortWithinPartitions("key", "line").mapInArrow(_verify(edits), "a long, b long"), "links"))
         if last:
             break
-        members = ws.table(members.join(hot, F.col("key") == F.col("hot"), "left_semi").mapInArrow(_refine(edits), "key long, kind int, line long, words string"), "finer")
+        members = ws.table(members.join(hot, F.col("key") == F.col("hot"), "left_semi").mapInArrow(_refine(edits), "key long, kind int, line long, words string, rest string"), "finer")
     found = out[0]
     for o in out[1:]:
         found = found.union(o)
@@ -286,27 +307,29 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _refine(edits: int):
-    """Split a key by what stands beside the shared segment: lines near each other there share a segment of it too."""
+    """Split a key by what stands beside the shared segment: lines near each other share a segment there too."""
+
+    def rests(key: int, kind: int, words: str, rest: str | None) -> list[str]:
+        if rest is not None:
+            return [rest]
+        return [words[:at] + words[at + size :] for k, kd, at, size in keys_of(words, edits) if k == key and kd == kind]
 
     def run(batches):
+        names = ("key", "kind", "line", "words", "rest")
         for b in batches:
             rows = []
-            for key, kind, line, words in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "line", "words"))):
+            for key, kind, line, words, rest in zip(*(b.column(c).to_pylist() for c in names)):
                 whole = key & 0xFFFFFFFFFFFFFFFF
-                for k, kd, at, size in keys_of(words, edits):
-                    if k != whole or kd != kind:
-                        continue
-                    rest = words[:at] + words[at + size :]
-                    for finer, kd2, _, _ in keys_of(rest, edits, whole) if rest else [(whole ^ 1, 0, 0, 0)]:
-                        rows.append((_signed(finer), kd2, line, words))
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["key", "kind", "line", "words"])
+                for r in rests(whole, kind, words, rest):
+                    rows += [(_signed(finer), 0, line, words, r[:at] + r[at + size :]) for finer, at, size in rest_keys(r, edits, whole)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], list(names))
 
     return run
 
 
 def dropped(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int) -> DataFrame:
-    """``row, gone``: the numbers of the lines that go, of each (doc_id, text) that loses any."""
+    """``__gone_row, __gone``: the numbers of the lines that go, of each (doc_id, text) that loses any."""
     lines = ws.table(occurrences(documents), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "row")
     firsts = ws.table(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
@@ -315,7 +338,7 @@ def dropped(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int
     keepers = named.groupBy("class").agg(F.min("first").alias("keep"))
     keepers = ws.table(named.join(keepers, "class").select(F.col("id").alias("line"), F.col("keep.row").alias("keep_row"), F.col("keep.pos").alias("keep_pos")), "keepers")
     gone = lines.join(keepers, F.col("id") == F.col("line")).where("row <> keep_row or pos <> keep_pos").select("row", "pos").distinct()
-    return ws.table(gone.groupBy("row").agg(F.collect_set("pos").alias("gone")).select(F.col("row").alias("__gone_row"), "gone"), "gone")
+    return ws.table(gone.groupBy("row").agg(F.collect_set("pos").alias("__gone")).select(F.col("row").alias("__gone_row"), "__gone"), "gone")
 
 
 def dedup(spark: SparkSession, documents: DataFrame, edits: int = 2) -> DataFrame:
@@ -324,11 +347,13 @@ def dedup(spark: SparkSession, documents: DataFrame, edits: int = 2) -> DataFram
     ws = Workspace(spark, "lines")
     gone = dropped(spark, ws, documents, edits)
     spark._jvm.System.gc()  # lets Spark's cleaner free the shuffle files of the steps above
-    joined = documents.withColumn("__row", _row()).join(gone, F.col("__row") == F.col("__gone_row"), "left")
+    # whatever the size, the lists of lines are what is hashed, and the texts stream past them unsorted
+    joined = documents.withColumn("__row", _row()).join(gone.hint("shuffle_hash"), F.col("__row") == F.col("__gone_row"), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     lines = F.coalesce(F.size(parts), F.lit(0))
-    left = lines - F.coalesce(F.size("gone"), F.lit(0))
-    out = [text.alias("text") if c == "text" else (F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`")) for c in documents.columns]
-    return joined.select(*out, lines.alias("__lines"), left.alias("__kept"))
+    left = lines - F.coalesce(F.size("__gone"), F.lit(0))
+    done = joined.withColumn("__lines", lines).withColumn("__kept", left).withColumn("__text", text)
+    changed = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return done.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns), "__lines", "__kept")
