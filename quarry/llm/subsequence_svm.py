@@ -140,7 +140,7 @@ def kernel(words: list[str], landmarks: list[str], p: Params) -> np.ndarray:
     used, pos = np.unique(lc, return_inverse=True)
     basis = np.zeros((len(used), len(landmarks)))
     np.add.at(basis, (pos, lr), lv)
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     for lo in range(0, len(words), 512):
         wr, wc, wv = explicit(words[lo : lo + 512], p)
         at = np.searchsorted(used, wc)
@@ -153,13 +153,18 @@ def kernel(words: list[str], landmarks: list[str], p: Params) -> np.ndarray:
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
     """Newton's method on the primal of the linear SVM; the last column of x is the constant."""
-    v = np.zeros(x.shape[1])
-    ridge = np.ones(x.shape[1])
+    d = x.shape[1]
+    v, ridge = np.zeros(d), np.ones(d)
     ridge[-1] = 1e-3
     for _ in range(40):
-        active = y * (x @ v) < 1
-        xa, wa = x[active], 2 * cost * weight[active]
-        step = np.linalg.solve(np.diag(ridge) + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[active])
+        gram, side = np.diag(ridge), np.zeros(d)
+        for lo in range(0, len(x), 2048):  # block by block: no second copy of x
+            part, sign, cs = x[lo : lo + 2048], y[lo : lo + 2048], weight[lo : lo + 2048]
+            active = sign * (part @ v) < 1
+            part, scaled = part[active].astype(float), 2 * cost * cs[active]
+            gram += (part * scaled[:, None]).T @ part
+            side += part.T @ (scaled * sign[active])
+        step = np.linalg.solve(gram, side)
         if np.allclose(step, v, atol=1e-7):
             break
         v = step
@@ -177,8 +182,10 @@ def train_words(positive: list[str], seen_in: np.ndarray, negative: list[str], h
     weight = 0.5 * len(y) * np.r_[root_n / root_n.sum(), np.full(len(negative), 1 / len(negative))]
     values, vectors = np.linalg.eigh(kernel(marks, marks, p))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) * (values > 1e-6)
-    z = kernel(words, marks, p) @ root
-    v = squared_hinge(np.c_[z, np.ones(len(z))], y, weight, p.cost)
+    z = np.ones((len(words), root.shape[1] + 1), np.float32)
+    for lo in range(0, len(words), 2048):
+        z[lo : lo + 2048, :-1] = kernel(words[lo : lo + 2048], marks, p) @ root
+    v = squared_hinge(z, y, weight, p.cost)
     alpha = root @ v[:-1]
     lr, lc, lv = explicit(marks, p)
     table = np.zeros(64**3)
