@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.runtime import Workspace, write_once
 
 _VERSION = b"WARC/1."
+_LINE = re.compile(rb"WARC/1\.\d\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _MEMBER = b"\x1f\x8b\x08"
@@ -84,7 +86,7 @@ class Damaged(ValueError):
 
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at ``at``; raises Damaged where a check fails."""
-    if data[at : at + len(_VERSION)] != _VERSION:
+    if not _LINE.match(data, at):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
