@@ -32,8 +32,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece: where it lies in which sequence."""
-    return bound_packing.pack_documents(spark, docs)
+    """A row per piece: where it lies in which sequence.
+
+    Workers go on to other stages, so they remember fewer stretches than where packing is all they do.
+    """
+    return bound_packing.pack_documents(spark, docs, remember=500_000)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash_near_dedup", near_duplicates), ("mixing", mixing), ("packing", packing)]

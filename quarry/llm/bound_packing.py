@@ -2,9 +2,9 @@
 
 Documents become token ids; only those longer than a sequence are cut.  Pieces are dealt at random into
 partitions of bounded size; each partition packs by best-fit decreasing and computes a lower
-bound from dual feasible functions.  A partition that meets its bound is certified and final.  The others
-keep their full sequences and give up those with a gap: the pieces of these are dealt anew, into
-fewer partitions, and packed again, until all is certified, no gap is left to exchange or the rounds are used up.
+bound from dual feasible functions: one that meets it is certified.  If all sequences together meet the bound of all
+pieces, the packing is done.  Else partitions keep their full sequences and exchange what lies in those with a gap: these pieces
+are dealt anew, into fewer partitions, and packed again, until the bound is met or the rounds are used up.
 
 The ids themselves never travel: only (doc_id, piece, length) does.
 
@@ -23,18 +23,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.runtime import Workspace
-from quarry.llm.token_ids import Encoder, tokenizer_file
+from quarry.llm.token_ids import encoder
 
 
-def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every piece of every row."""
+def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, remember: int = 2_000_000) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` of every piece of every row.
+
+    ``remember``: stretches of text whose ids a Python worker keeps, about 180 bytes each.
+    """
 
     def run(batches):
-        encoder, end = Encoder(tokenizer_file(tokenizer)), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             keys, pieces, starts, lengths, crcs = [], [], [], [], []
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                raw = memoryview(encoder.encode(text) + end)
+            for key, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer, remember).encode_all(b.column("text"))):
+                raw = memoryview(ids + end)
                 for i, lo in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[lo : lo + 4 * capacity]
                     keys.append(key)
@@ -48,8 +51,12 @@ def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual feasible functions, and the plain sum."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    """The least number of sequences that these pieces can need, as far as the functions tell."""
+    return lower_bound_of(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def lower_bound_of(count: np.ndarray, capacity: int) -> int:
+    """The best bound of two families of dual feasible functions, and the plain sum, from the count of each length."""
     if not count.any():
         return 0
     sizes = np.arange(capacity + 1)
@@ -99,37 +106,40 @@ _COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def _pack_part(turn: int, last: bool, capacity: int):
+def _pack_part(turn: int, capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         lengths = pdf["length"].to_numpy(np.int64)
         b, offset, fill = best_fit_decreasing(lengths, capacity)
-        certified = len(fill) == lower_bound(lengths, capacity)
-        final = certified or last
         base = ((turn + 1) << 56) | (int(key[0]) << 28)
-        return pdf[_NAMES].assign(sequence_id=base + b, offset=offset, certified=certified, final=(fill[b] == capacity) | final)
+        certified = len(fill) == lower_bound(lengths, capacity)
+        return pdf[_NAMES].assign(sequence_id=base + b, offset=offset, certified=certified, full=fill[b] == capacity)
 
     return run
 
 
-def pack(ws: Workspace, pieces: DataFrame, capacity: int, part_rows: int = 50_000, rounds: int = 3) -> DataFrame:
+def pack(ws: Workspace, pieces: DataFrame, capacity: int, part_rows: int = 100_000, rounds: int = 4) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``certified`` tells whether its partition met the bound."""
-    schema = f"{_COLUMNS}, sequence_id long, offset long, certified boolean, final boolean"
-    whole = pieces.where(F.col("length") == capacity)
+    schema = f"{_COLUMNS}, sequence_id long, offset long, certified boolean, full boolean"
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    bound = lower_bound_of(np.array([counts.get(n, 0) for n in range(capacity + 1)], np.int64), capacity)
     # a piece that fills a sequence needs no partner
+    whole = pieces.where(F.col("length") == capacity)
     done = [whole.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))]
-    rest = pieces.where(F.col("length") < capacity)
-    left = rest.count()
+    rest, used = pieces.where(F.col("length") < capacity), counts.get(capacity, 0)
+    left = sum(counts.values()) - used
     for turn in range(rounds):
         if not left:
             break
         parts = max(1, -(-left // part_rows))
-
-        run = _pack_part(turn, turn == rounds - 1 or parts == 1, capacity)
         dealt = rest.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)))
-        packed = ws.table(dealt.groupBy("__part").applyInPandas(run, schema), f"round{turn}")
-        done.append(packed.where("final").select(*_NAMES, "sequence_id", "offset", "certified"))
-        rest = packed.where("not final").select(*_NAMES)
+        packed = ws.table(dealt.groupBy("__part").applyInPandas(_pack_part(turn, capacity), schema), f"round{turn}")
+        full, gaps = (packed.where(F.col("full") == yes).select("sequence_id").distinct().count() for yes in (True, False))
+        keep = packed if turn == rounds - 1 or parts == 1 or used + full + gaps == bound else packed.where("full")
+        done.append(keep.select(*_NAMES, "sequence_id", "offset", "certified"))
+        if keep is packed:
+            break
+        rest, used = packed.where("not full").select(*_NAMES), used + full
         left = rest.count()
     out = done[0]
     for d in done[1:]:
@@ -137,8 +147,8 @@ def pack(ws: Workspace, pieces: DataFrame, capacity: int, part_rows: int = 50_00
     return out
 
 
-def pack_documents(spark: SparkSession, documents: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(spark: SparkSession, documents: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, remember: int = 2_000_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified`` of every piece."""
     ws = Workspace(spark, "packing")
-    pieces = ws.table(cut_pieces(documents, tokenizer, capacity, end_id), "pieces")
+    pieces = ws.table(cut_pieces(documents, tokenizer, capacity, end_id, remember), "pieces")
     return pack(ws, pieces, capacity)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.runtime import Workspace, small_enough, write_once
-from quarry.llm.token_ids import Encoder, tokenizer_file
+from quarry.llm.token_ids import encoder
 
 MAGIC = b"QHUF0001"
 BLOCK = 1 << 17
@@ -94,10 +94,10 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> byt
     at = np.r_[0, np.cumsum(size)]
     total, at = int(at[-1]), at[:-1]
     n_bytes = (total + 7) // 8
-    # A code of up to 25 bits lies within four bytes; bits of different codes never meet, so sums are unions.
+    # A code of up to 25 bits lies within four bytes, of up to 17 in three; bits of different codes never meet, so sums are unions.
     shifted = codes[ids] << (32 - size - (at & 7))
     out = np.zeros(n_bytes + 4)
-    for k in range(4):
+    for k in range(3 if lengths.max() <= 17 else 4):
         out += np.bincount((at >> 3) + k, weights=(shifted >> (24 - 8 * k)) & 255, minlength=n_bytes + 4)[: n_bytes + 4]
     marks = at[::STRIDE].astype("<u4").tobytes()
     return struct.pack("<II", len(ids), n_bytes) + marks + out[:n_bytes].astype(np.uint8).tobytes()
@@ -146,7 +146,7 @@ def decode_file(data: bytes):
     keys, sizes = np.frombuffer(data, "<i8", n_docs, at), np.frombuffer(data, "<i8", n_docs, at + 8 * n_docs)
     at += 16 * n_docs
     table, view = decode_table(lengths), memoryview(data)
-    held: list[np.ndarray] = []
+    held: list[np.ndarray] = [np.zeros(0, np.uint32)]
     have = 0
     for key, size in zip(keys.tolist(), sizes.tolist()):
         while have < size:
@@ -163,10 +163,9 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame
     """``doc_id, ids`` (bytes, two per id where the vocabulary allows, else four), end id included."""
 
     def run(batches):
-        encoder = Encoder(tokenizer_file(tokenizer))
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            end = np.array([end_id], "<u4").tobytes()
-            ids = [encoder.encode(t) + end for t in b.column("text").to_pylist()]
+            ids = [x + end for x in encoder(tokenizer, 2_000_000).encode_all(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack_ids(x) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
@@ -191,24 +190,15 @@ def deal(tokens: DataFrame, file_ids: int) -> tuple[DataFrame, int]:
     n = max(1, -(-(total or 0) // file_ids))
     if n == 1:
         return tokens.withColumn("file", F.lit(0)), 1
-    borders = tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    borders = sorted(set(borders))
-    edges = F.array(*map(F.lit, borders)) if borders else F.array(F.lit(0))
-    file = F.coalesce(F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))), F.lit(0)) if len(borders) < 64 else _search(tokens.sparkSession, borders)
-    return tokens.withColumn("file", file), len(borders) + 1
+    borders = np.unique(np.array(tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or [], np.int64))
 
+    def assign(batches):
+        for b in batches:
+            ids = b.column("doc_id")
+            file = np.searchsorted(borders, ids.fill_null(_NULL_KEY).to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(file)], [*b.schema.names, "file"])
 
-def _search(spark: SparkSession, borders: list[int]):
-    """The number of borders up to ``doc_id``, by binary search."""
-    import pandas as pd
-
-    shared = spark.sparkContext.broadcast(np.array(borders))
-
-    @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(shared.value, ids.fillna(_NULL_KEY).astype("int64"), "right"))).astype("int32")
-
-    return find("doc_id")
+    return tokens.mapInArrow(assign, "doc_id long, ids binary, n long, file int"), len(borders) + 1
 
 
 def write_files(spark: SparkSession, documents: DataFrame, where: str, ws: Workspace, tokenizer: str, end_id: int = 0, limit: int = 16, file_ids: int = 1 << 21) -> None:

@@ -1,56 +1,177 @@
 """Token ids of whole texts by a public tokenizer file, fast enough for a corpus.
 
-A text is cut before each run of blanks (space, tab, line feed) that follows another character.  Both
-pre-tokenizers in use end a token there, so the stretches are encoded on their own and each
-distinct stretch only once per worker.  The cut is proven for a tokenizer by ``splits_at_blanks``
-against whole texts; where it fails, whole texts are encoded.
+Both pre-tokenizers in use end a token where a blank follows another character, so a text is cut before its
+single blanks (or, where blanks stand in runs, before each run) and the stretches are encoded on their own, each distinct one
+once.  New stretches are encoded many at a time, as one text, and told apart in the result by
+their tokens: one that opens with a blank opens a stretch (byte-level), or so many word ends close one
+(word-level).  Whatever does not add up is encoded alone; a tokenizer that fails the probes gets whole texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _STRETCH = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+$")
-_PROBES = ("a  b\n\n c\t d", " x y ", "don't  stop\n", "", "   ", "é ç\ńb", "a　b  c", "<|endoftext|> a", "1 2  34 !!  ?? a_b", "ab\r\n cd")
+#: White space that may join with a blank beyond a cut: a text with such a stretch is encoded whole.
+_ODD = re.compile(r"^\s|[^\S\n]|[\x1c-\x1f\x85]")
+_ODD_RUN = re.compile(r"[^\S \n\t]|[\x1c-\x1f\x85]")
+_WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)?")
+_PROBES = ("a  b\n\n c\t d", " x y ", "don't  stop\n", "", "   ", "é ç\ńb", "a　b  c", "<|endoftext|> a", "1 2  34 !!  ?? a_b", "ab\r\n cd", "one two\n three. four", "a \nb", "x\n\n y z")
+_CHUNK, SLAB = 200, 2048
 
 
 class Encoder:
-    """Whole texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Whole texts to little-endian unsigned 32-bit ids, as bytes.  ``keep`` bounds the stretches remembered."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
-        self.cut = self.splits_at_blanks()
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.keep, self.known, self.odd = keep, {}, set()  # odd: stretches that do not stand alone
+        vocabulary = t.get_vocab(with_added_tokens=True)
+        self.suffix = getattr(t.model, "end_of_word_suffix", None) or None
+        self.mark = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.mark[i] = token.endswith(self.suffix) if self.suffix else token.startswith("Ġ")
+        self.cut = all(self._join(p) == self.whole(p) for p in _PROBES)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def splits_at_blanks(self) -> bool:
-        return all(b"".join(map(self.whole, _STRETCH.findall(t))) == self.whole(t) for t in _PROBES)
-
-    def encode(self, text: str | None) -> bytes:
+    @staticmethod
+    def stretches(text: str | None) -> list[str]:
+        """Pieces that make up the text; those after the first begin with a blank, which is left out if it is single."""
         if not text:
-            return b""
+            return []
+        parts = text.split(" ")
+        if "" in parts:  # runs of blanks, or one at an end
+            return ["\0" + s for s in _STRETCH.findall(text)]
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    def _join(self, text: str) -> bytes:
+        stretches = self.stretches(text)
+        found = self._found(stretches)
+        return b"".join(found) if self.odd.isdisjoint(stretches) else self.whole(text)
+
+    def encode_all(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text; a column is cut and its stretches numbered in Arrow, slab by slab."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.cut:
-            return self.whole(text)
-        stretches, known = _STRETCH.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, stretches))
-        except KeyError:
-            pass
-        new = [s for s in set(stretches) if s not in known]
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = list(set(stretches))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[s] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, stretches))
+            return [self.whole(t) if t else b"" for t in column.to_pylist()]
+        out: list[bytes] = []
+        for lo in range(0, len(column), SLAB):
+            out += self._slab(pc.fill_null(column.slice(lo, SLAB), ""))
+        return out
+
+    def _slab(self, column: pa.Array) -> list[bytes]:
+        parts = pc.split_pattern(column, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        values = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
+        numbered = values.dictionary_encode()
+        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        # The first stretch of a text has no blank before it: it gets a number of its own.
+        heads = ["\0" + s for s in values.take(pa.array(offsets[:-1])).to_pylist()]
+        distinct += heads
+        at[offsets[:-1]] = np.arange(len(distinct) - len(heads), len(distinct))
+        found = self._found(distinct)
+        # Runs of blanks, blanks at an end, and stretches that do not stand alone: such texts go by themselves.
+        odd = [i for i, s in enumerate(distinct) if s in self.odd] if self.odd else []
+        if "" in distinct:
+            odd.append(distinct.index(""))
+        alone = ()
+        if odd:
+            flags = np.zeros(len(distinct), bool)
+            flags[odd] = True
+            alone = np.flatnonzero(np.add.reduceat(flags[at], offsets[:-1]) > 0)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        flat = pool[np.repeat(starts[at] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edges = (4 * np.r_[0, ends][offsets]).tolist()
+        out = [flat[a:b] for a, b in zip(edges, edges[1:])]
+        for i in alone:
+            out[i] = self._join(column[int(i)].as_py())
+        return out
+
+    def _found(self, names: list[str]) -> list[bytes]:
+        """What is known of the named stretches, after learning those that are new."""
+        found = list(map(self.known.get, names))
+        holes = [i for i, v in enumerate(found) if v is None]
+        if holes:
+            if len(self.known) + len(holes) > self.keep:
+                self._forget()
+            self._learn({names[i] for i in holes})
+            for i in holes:
+                found[i] = self.known[names[i]]
+        return found
+
+    def _forget(self) -> None:
+        """Make room: short stretches are the common ones and stay."""
+        self.known = {s: v for s, v in self.known.items() if len(s) < 7}
+        if len(self.known) > self.keep // 2:
+            self.known = {}
+        self.odd.intersection_update(self.known)
+
+    def _learn(self, new: set[str]) -> None:
+        alone, together, counts = [], [], []
+        for s in new:
+            if (_ODD_RUN.search(s) if s[:1] == "\0" else _ODD.search(s)):
+                self.known[s] = b""
+                self.odd.add(s)
+            elif s[:1] == "\0":
+                alone.append((s, s[1:]))
+            elif self.suffix is None:
+                together.append(s)
+                counts.append(1)
+            elif (m := _WORD.fullmatch(s)) and (s.isascii() or m[1].lower().isalpha()):
+                together.append(s)
+                counts.append(2 if m[2] else 1)
+            else:
+                alone.append((s, " " + s))
+        chunks = [(together[i : i + _CHUNK], counts[i : i + _CHUNK]) for i in range(0, len(together), _CHUNK)]
+        for lo in range(0, len(chunks), 64):
+            part = chunks[lo : lo + 64]
+            for (names, count), e in zip(part, self._batch([" " + " ".join(names) for names, _ in part])):
+                ids = np.array(e.ids, np.uint32)
+                marks = np.flatnonzero(self.mark[ids])
+                if len(marks) != sum(count):
+                    alone += [(s, " " + s) for s in names]
+                    continue
+                if self.suffix is None:
+                    edges = np.r_[marks, len(ids)]
+                else:
+                    edges = np.r_[0, marks[np.cumsum(count) - 1] + 1]
+                raw, at = ids.astype("<u4").tobytes(), (4 * edges).tolist()
+                self.known.update(zip(names, [raw[a:b] for a, b in zip(at, at[1:])]))
+        for lo in range(0, len(alone), 4096):
+            part = alone[lo : lo + 4096]
+            for (name, _), e in zip(part, self._batch([s for _, s in part])):
+                self.known[name] = array("I", e.ids).tobytes()
+
+    def _batch(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(name: str, keep: int = 1_300_000) -> Encoder:
+    """The encoder of a public tokenizer file; a Python worker keeps it from task to task."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(tokenizer_file(name), keep)
+    return _ENCODERS[name]
 
 
 def tokenizer_file(name: str) -> str:
