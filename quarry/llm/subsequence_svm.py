@@ -196,7 +196,7 @@ def train_words(positive: list[str], seen_in: np.ndarray, negative: list[str], h
 class Scorer:
     """Features of texts under a model; remembers words, at most ``keep`` of them."""
 
-    def __init__(self, model: Model, keep: int = 400_000):
+    def __init__(self, model: Model, keep: int = 300_000):
         self.model, self.keep, self.known = model, keep, {}
 
     def learn(self, tokens: set[str]) -> None:
@@ -216,19 +216,18 @@ class Scorer:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: the largest, mean of three largest, share and number of positive windows."""
-        split = []
-        for t in texts:
-            low = (t or "").lower()
-            toks = low.split()
-            if len(toks) > 3 and (found := _SPACED.findall(low)):
-                toks += ["".join(x.split()) for x in found]
-            split.append(toks)
         out = np.zeros((len(texts), 4))
-        for lo in range(0, len(split), 256):
-            part = split[lo : lo + 256]
-            self.learn(set().union(*part) if part else set())
+        for lo in range(0, len(texts), 128):
+            split = []
+            for t in texts[lo : lo + 128]:
+                low = (t or "").lower()
+                toks = low.split()
+                if len(toks) > 3 and (found := _SPACED.findall(low)):
+                    toks += ["".join(x.split()) for x in found]
+                split.append(toks)
+            self.learn(set().union(*split))
             get = self.known.__getitem__
-            for i, toks in enumerate(part, lo):
+            for i, toks in enumerate(split, lo):
                 if not toks:
                     out[i] = (-2, -2, 0, 0)
                     continue
