@@ -10,6 +10,7 @@ from quarry.functions import paths as P
 from quarry.functions.text import leading_identifier
 from quarry.operators import graph, resolve
 from quarry.plans import output
+from quarry.plans.scratch import settle
 from quarry.queries import corpus as C
 
 DEPTH = 3
@@ -102,11 +103,6 @@ def classify_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("target_kind").agg(F.count("*").alias("n"))
 
 
-def _symbol(spark: SparkSession, sf_dir: str) -> str:
-    """The symbol of the graph's root."""
-    return C.documents(spark, sf_dir).join(_root(spark, sf_dir), "chunk_id").first()["symbol"]
-
-
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a name that is no symbol, or several files' symbol."""
     return resolve.callers("the", _resolved(spark, sf_dir), C.files(spark, sf_dir), C.documents(spark, sf_dir)).select("caller_file", "call_line", "call_column", "callee_name")
@@ -119,29 +115,32 @@ def callers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _classified(spark, sf_dir).join(_root(spark, sf_dir).withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id")
+    calls = settle(_classified(spark, sf_dir), "calls")
+    calls = calls.join(_root(spark, calls).withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id")
     return resolve.callees(calls, C.files(spark, sf_dir), C.documents(spark, sf_dir)).select("call_id", "callee_name", "target_kind", "resolved_symbol", "resolved_file", "resolved_line")
 
 
-def _root(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _root(spark: SparkSession, calls: DataFrame) -> DataFrame:
     """The caller with most different other targets, then the lowest id."""
-    targets = _resolved(spark, sf_dir).where("resolved_chunk_id <> caller_chunk_id")
+    targets = calls.where("resolved_chunk_id <> caller_chunk_id")
     best = targets.groupBy("caller_chunk_id").agg(F.countDistinct("resolved_chunk_id").alias("n")).orderBy(F.desc("n"), "caller_chunk_id").limit(1)
     found = best.collect()  # one row: the walk starts from a known chunk
     return spark.createDataFrame([(r["caller_chunk_id"],) for r in found], "chunk_id long")
 
 
 def callgraph_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.frontiers(_resolved(spark, sf_dir).persist(), _root(spark, sf_dir), DEPTH).groupBy("depth").agg(F.count("*").alias("n"))
+    calls = settle(_resolved(spark, sf_dir), "calls")  # every level of the walk reads them
+    return graph.frontiers(calls, _root(spark, calls), DEPTH).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calls = _classified(spark, sf_dir).persist()  # every level of the walk reads them
-    return graph.build(calls, _root(spark, sf_dir), C.files(spark, sf_dir), C.documents(spark, sf_dir), DEPTH)
+    calls = settle(_classified(spark, sf_dir), "calls")
+    return graph.build(calls, _root(spark, calls), C.files(spark, sf_dir), C.documents(spark, sf_dir), DEPTH)
 
 
 def callgraph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.walk(_classified(spark, sf_dir).persist(), _root(spark, sf_dir), DEPTH).select("depth", "caller_chunk_id", "call_id", "resolved_chunk_id", "target_kind")
+    calls = settle(_classified(spark, sf_dir), "calls")
+    return graph.walk(calls, _root(spark, calls), DEPTH).select("depth", "caller_chunk_id", "call_id", "resolved_chunk_id", "target_kind")
 
 
 def callgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +171,9 @@ def callers_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callees_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, chunks = C.files(spark, sf_dir), C.documents(spark, sf_dir)
-    root = _root(spark, sf_dir)
-    calls = _classified(spark, sf_dir).join(root.withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id")
+    calls = settle(_classified(spark, sf_dir), "calls")
+    root = _root(spark, calls)
+    calls = calls.join(root.withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id")
     head = chunks.join(root, "chunk_id").join(files.select("file_id", F.col("path").alias("file")), "file_id").select("symbol", "file", F.col("start_line").alias("line"))
     return output.callees_jsonl(head, resolve.callees(calls, files, chunks))
 
