@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.numbering import number
+
 
 def detect(current: DataFrame, tracked: DataFrame, key: str = "path") -> DataFrame:
     """``key, change`` of files added, modified or deleted between two snapshots ``(key, mtime, size, content_hash)``.
@@ -42,10 +44,9 @@ def assign_ids(old: DataFrame, new: DataFrame, key: str, id_column: str, after:
 
     Ids are never used again: ``after`` is the largest ever given.
     """
-    known = new.join(old.select(key, id_column), key, "left")
-    fresh = known.where(F.col(id_column).isNull()).drop(id_column)
-    ranked = fresh.withColumn(id_column, F.row_number().over(Window.orderBy(key)).cast("long") + after)
-    return known.where(F.col(id_column).isNotNull()).unionByName(ranked)
+    known = new.join(old.select(key, id_column), key)
+    fresh = new.join(old.select(key), key, "left_anti")
+    return known.unionByName(number(fresh, [key], id_column, after + 1))
 
 
 def delete_files(files: DataFrame, chunks: DataFrame, tombstones: DataFrame, gone: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -130,19 +130,21 @@ class Index:
         if not terms:
             return spark.createDataFrame([], "id long, score double")
         hits = self.postings.where(F.col("term").isin(*terms))
+        single = [(i, c.terms[0], f) for i, c in enumerate(query.clauses) if len(c.terms) == 1 for f in c.fields]
         frames = []
+        if single:  # all single terms in one pass: each posting meets the clauses it counts for
+            wanted = F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(t).alias("term"), F.lit(f).alias("field")) for i, t, f in single))
+            met = F.transform(F.filter(wanted, lambda w: (w["term"] == F.col("term")) & (w["field"] == F.col("field"))), lambda w: w["clause"])
+            frames.append(hits.select("id", "field", "tf", F.explode(met).alias("clause")))
         for i, c in enumerate(query.clauses):
-            mine = hits.where(F.col("term").isin(*set(c.terms)) & F.col("field").isin(*c.fields))
-            if len(c.terms) == 1:
-                found = mine.select("id", "field", "tf")
-            else:
-                found = _phrase(mine, c.terms)
-            df = found.groupBy("field").agg(F.count("*").alias("df"))
-            weighed = found.join(F.broadcast(df), "field").select("id", "field", "tf", "df")
-            frames.append(weighed.withColumn("clause", F.lit(i)))
-        every = frames[0]
+            if len(c.terms) > 1:
+                mine = hits.where(F.col("term").isin(*set(c.terms)) & F.col("field").isin(*c.fields))
+                frames.append(_phrase(mine, c.terms).withColumn("clause", F.lit(i)))
+        found = frames[0]
         for f in frames[1:]:
-            every = every.unionByName(f)
+            found = found.unionByName(f)
+        df = found.groupBy("clause", "field").agg(F.count("*").alias("df"))  # at most clauses x fields rows
+        every = found.join(F.broadcast(df), ["clause", "field"])
         stats = F.broadcast(statistics(self.lengths))
         weighed = every.join(self.lengths, ["id", "field"]).join(stats, "field")
         score = idf(F.col("docs"), F.col("df")) * term_weight(F.col("tf"), F.col("n"), F.col("avg_n"))

@@ -5,23 +5,19 @@ from __future__ import annotations
 import time
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import content_hash
 from quarry.operators import changes, embedding, lexical, parsing, resolve
+from quarry.operators.vector import VectorIndex
+from quarry.plans.numbering import number
 from quarry.plans.project import Project, ProjectError
 from quarry.plans.search import SearchEngine
-from quarry.operators.vector import VectorIndex
 from quarry.sources import files as sources
 from quarry.sources.config import ModelRegistry
 
 
-def _numbered(df: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
-    """Ids from ``first`` on, in order; for what one run adds."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + (first - 1))
-
-
 def walk_options(project: Project) -> sources.WalkOptions:
     c = project.config().index
     return sources.WalkOptions(use_gitignore=c.respect_gitignore, exclude=tuple(c.exclude), extensions=tuple(c.extensions), max_bytes=c.max_file_size, lossy=c.lossy_utf8)
@@ -64,9 +60,9 @@ def index(spark: SparkSession, project: Project, full: bool = False, registry: M
     new_files = placed.select("file_id", "path", F.col("language").alias("lang"), F.col("content_hash").alias("file_hash"), F.col("size").alias("size_bytes"), F.lit(now).cast("long").alias("indexed_at")).persist()
     replaced = old["files"].join(new_files.select("path").unionByName(gone), "path", "left_semi").select("file_id").persist()
     ids = new_files.select("file_id", "path")
-    new_chunks = _numbered(parsing.chunks(readable, parsed).join(ids, "path"), ["path", "start_line", "ord"], "chunk_id", manifest.next_chunk_id).withColumn("content_hash", content_hash(F.col("content"))).persist()
-    new_calls = _numbered(new_chunks.select("chunk_id", F.posexplode("calls").alias("n", "c")).select(F.col("chunk_id").alias("caller_chunk_id"), "n", "c.*"), ["caller_chunk_id", "n"], "call_id", manifest.next_call_id)
-    new_imports = _numbered(parsing.imports(parsed).join(ids, "path"), ["path", "ord"], "import_id", manifest.next_import_id)
+    new_chunks = number(parsing.chunks(readable, parsed).join(ids, "path"), ["path", "start_line", "ord"], "chunk_id", manifest.next_chunk_id).withColumn("content_hash", content_hash(F.col("content"))).persist()
+    new_calls = number(new_chunks.select("chunk_id", F.posexplode("calls").alias("n", "c")).select(F.col("chunk_id").alias("caller_chunk_id"), "n", "c.*"), ["caller_chunk_id", "n"], "call_id", manifest.next_call_id)
+    new_imports = number(parsing.imports(parsed).join(ids, "path"), ["path", "ord"], "import_id", manifest.next_import_id)
     dead = old["chunks"].join(replaced, "file_id", "left_semi").select("chunk_id").persist()
     keep = lambda df, key: df.join(dead.select(F.col("chunk_id").alias(key)), key, "left_anti")
     columns = lambda df, like: df.select(*old[like].columns)

@@ -184,3 +184,11 @@ def test_config(tmp_path):
     assert search_type("BM25") == "lexical"
     with pytest.raises(ValueError):
         search_type("fuzzy")
+
+
+def test_numbering(spark):
+    from quarry.plans.numbering import number
+
+    df = spark.createDataFrame([(i * 7919 % 1009, "x") for i in range(1009)], "k long, v string").repartition(5)
+    assert [(r["k"], r["n"]) for r in number(df, ["k"], "n", 10).orderBy("k").collect()] == [(k, k + 10) for k in range(1009)]
+    assert number(df.limit(0), ["k"], "n").count() == 0
