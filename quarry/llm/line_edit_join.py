@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.llm.runtime import Workspace, connected_components, small_enough
 
@@ -349,11 +350,24 @@ def dedup(spark: SparkSession, documents: DataFrame, edits: int = 2) -> DataFram
     spark._jvm.System.gc()  # lets Spark's cleaner free the shuffle files of the steps above
     # whatever the size, the lists of lines are what is hashed, and the texts stream past them unsorted
     joined = documents.withColumn("__row", _row()).join(gone.hint("shuffle_hash"), F.col("__row") == F.col("__gone_row"), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    lines = F.coalesce(F.size(parts), F.lit(0))
-    left = lines - F.coalesce(F.size("__gone"), F.lit(0))
-    done = joined.withColumn("__lines", lines).withColumn("__kept", left).withColumn("__text", text)
-    changed = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return done.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns), "__lines", "__kept")
+    at, size = documents.columns.index("text"), documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+
+    def rebuild(batches):
+        for b in batches:
+            texts, lines, kept = [], [], []
+            for text, lost in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                n = text.count("\n") + 1 if text is not None else 0
+                if lost:
+                    lost = set(lost)
+                    text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in lost])
+                texts.append(text)
+                lines.append(n)
+                kept.append(n - len(lost or ()))
+            columns = b.columns[:-1]
+            columns[at] = pa.array(texts, b.schema.field(at).type)
+            if size is not None:
+                columns[size] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(kept, pa.int32())], [*b.schema.names[:-1], "__lines", "__kept"])
+
+    schema = StructType([*documents.schema.fields, StructField("__lines", IntegerType()), StructField("__kept", IntegerType())])
+    return joined.select(*(F.col(f"`{c}`") for c in documents.columns), "__gone").mapInArrow(rebuild, schema)
