@@ -154,7 +154,9 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 10, p: Pa
     indexed = ws.table(rows.mapInArrow(index, "tab int, cell long, id long, v binary"), "index")
     large = ws.table(indexed.groupBy("tab", "cell").count().where(F.col("count") > SPLIT).select(F.col("tab").alias("lt"), F.col("cell").alias("lc"), F.ceil(F.col("count") / SPLIT).cast("int").alias("pieces")), "large")
     wide = F.broadcast(large) if small_enough(spark, large.count(), 24) else large
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # few rows, but much work each: dealt evenly, whatever adaptive coalescing makes of their size
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(n)
 
     def deal(df: DataFrame) -> DataFrame:
         return df.join(wide, (F.col("tab") == F.col("lt")) & (F.col("cell") == F.col("lc")), "left")
