@@ -124,7 +124,7 @@ class Index:
         return self.lengths.agg(F.countDistinct("id").alias("docs"))
 
     def scores(self, query: Query) -> DataFrame:
-        """``id, score`` of every match."""
+        """``id, score`` of every match; to nine places, so that the order of adding up breaks no tie."""
         terms = sorted({t for c in query.clauses for t in c.terms})
         spark = self.postings.sparkSession
         if not terms:
@@ -151,7 +151,7 @@ class Index:
         must = [i for i, c in enumerate(query.clauses) if c.occur == "must"]
         never = [i for i, c in enumerate(query.clauses) if c.occur == "not"]
         has = lambda i: F.max((F.col("clause") == i).cast("int")) == 1
-        out = weighed.groupBy("id").agg(F.sum(F.when(~F.col("clause").isin(*never) if never else F.lit(True), score)).alias("score"), *(has(i).alias(f"c{i}") for i in must + never))
+        out = weighed.groupBy("id").agg(F.round(F.sum(F.when(~F.col("clause").isin(*never) if never else F.lit(True), score)), 9).alias("score"), *(has(i).alias(f"c{i}") for i in must + never))
         for i in must:
             out = out.where(F.col(f"c{i}"))
         for i in never:

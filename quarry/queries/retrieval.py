@@ -87,7 +87,7 @@ def bm25_sql(fields: list[str], clauses: list[tuple[str, list[str], str]], k: in
         WITH {_index_sql(fields, where)}, q(clause, term, field, occur) AS (VALUES {values}),
         hit AS (SELECT q.clause, q.occur, p.*, count(*) OVER (PARTITION BY q.clause, p.field) AS df FROM post p JOIN q USING (term, field))
         SELECT id AS file_id, round(sum({_WEIGHT}) FILTER (occur <> 'not'), 6) AS score FROM hit JOIN stat USING (field)
-        GROUP BY id HAVING {must} AND {never} AND count(*) FILTER (occur <> 'not') > 0 ORDER BY sum({_WEIGHT}) FILTER (occur <> 'not') DESC, id LIMIT {k}
+        GROUP BY id HAVING {must} AND {never} AND count(*) FILTER (occur <> 'not') > 0 ORDER BY round(sum({_WEIGHT}) FILTER (occur <> 'not'), 9) DESC, id LIMIT {k}
     """
 
 
@@ -96,7 +96,7 @@ PHRASE_SQL = f"""
     WITH {_index_sql(["content"])},
     hit AS (SELECT * FROM (SELECT id, len(t) AS n, len(list_filter(generate_series(1, len(t) - 1), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf FROM tok WHERE len(t) > 1) WHERE tf > 0),
     s AS (SELECT id, {_WEIGHT} AS score FROM (SELECT *, count(*) OVER () AS df FROM hit), stat)
-    SELECT id AS file_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {K}
+    SELECT id AS file_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT {K}
 """
 
 
@@ -189,7 +189,7 @@ def weighted_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked_sql() -> str:
     lex = bm25_sql(["content"], _should(WORDS, "content"), 50).strip().removeprefix("WITH")
     cte, _, final = lex.rpartition("SELECT id AS file_id")
-    final = final.replace("round(sum(", "(sum(", 1).replace("FILTER (occur <> 'not'), 6)", "FILTER (occur <> 'not'))", 1)
+    final = final.replace("FILTER (occur <> 'not'), 6)", "FILTER (occur <> 'not'), 9)", 1)
     return f"""WITH {cte.strip()}, lex AS (SELECT id AS file_id{final}), {_V}, qv AS (SELECT e AS q FROM v WHERE id = 7),
         sem AS (SELECT id, {_cos('e', 'q')} AS score FROM v, qv ORDER BY score DESC, id LIMIT 50),
         lists AS (SELECT 'lexical' AS list, file_id AS id, score FROM lex UNION ALL SELECT 'semantic', id, score FROM sem)"""
@@ -226,7 +226,7 @@ def rerank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results_sql(n: int = 40) -> str:
     lex = bm25_sql(["content"], _should(WORDS, "content"), n).strip().removeprefix("WITH")
     cte, _, final = lex.rpartition("SELECT id AS file_id")
-    final = final.replace("round(sum(", "(sum(", 1).replace("FILTER (occur <> 'not'), 6)", "FILTER (occur <> 'not'))", 1)
+    final = final.replace("FILTER (occur <> 'not'), 6)", "FILTER (occur <> 'not'), 9)", 1)
     return f"""WITH {cte.strip()}, lex AS (SELECT id AS file_id{final}),
         res AS (SELECT row_number() OVER (ORDER BY score DESC, file_id) - 1 AS rank, 'src/' || (file_id % 9) AS file, symbol, file_id AS chunk_id, score FROM lex JOIN files USING (file_id)),
         sym AS (SELECT *, score * CASE WHEN symbol IS NULL THEN 1.0 WHEN symbol = '{SYMBOL_QUERY}' THEN 1.25
@@ -337,7 +337,7 @@ def _search_sql(hits: str) -> str:
 def _engine_lists(k: int) -> str:
     lex = bm25_sql(["content", "symbol"], _should(WORDS, "content", "symbol"), k).strip().removeprefix("WITH")
     cte, _, final = lex.rpartition("SELECT id AS file_id")
-    final = final.replace("round(sum(", "(sum(", 1).replace("FILTER (occur <> 'not'), 6)", "FILTER (occur <> 'not'))", 1)
+    final = final.replace("FILTER (occur <> 'not'), 6)", "FILTER (occur <> 'not'), 9)", 1)
     return f"""WITH {cte.strip()}, lex AS (SELECT id AS file_id{final}), {_V}, qv AS (SELECT e AS q FROM v WHERE id = 7),
         sem AS (SELECT id, {_cos('e', 'q')} AS score FROM v, qv ORDER BY score DESC, id LIMIT {k}),
         lists AS (SELECT 'lexical' AS list, file_id AS id, score FROM lex UNION ALL SELECT 'semantic', id, score FROM sem)"""
