@@ -26,6 +26,13 @@ _PROBES = ("a  b\n\n c\t d", " x y ", "don't  stop\n", "", "   ", "é ç\ńb", "
 _CHUNK, SLAB = 200, 2048
 
 
+class _Odd(bytes):
+    """In place of the ids of a stretch that does not stand alone: told by identity, so that it outlives what is forgotten."""
+
+
+_ALONE = _Odd()
+
+
 class Encoder:
     """Whole texts to little-endian unsigned 32-bit ids, as bytes.  ``keep`` bounds the stretches remembered."""
 
@@ -34,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        self.keep, self.known, self.odd = keep, {}, set()  # odd: stretches that do not stand alone
+        self.keep, self.known = keep, {}
         vocabulary = t.get_vocab(with_added_tokens=True)
         self.suffix = getattr(t.model, "end_of_word_suffix", None) or None
         self.mark = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -59,7 +66,7 @@ class Encoder:
     def _join(self, text: str) -> bytes:
         stretches = self.stretches(text)
         found = self._found(stretches)
-        return b"".join(found) if self.odd.isdisjoint(stretches) else self.whole(text)
+        return self.whole(text) if any(v is _ALONE for v in found) else b"".join(found)
 
     def encode_all(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text; a column is cut and its stretches numbered in Arrow, slab by slab."""
@@ -84,7 +91,7 @@ class Encoder:
         at[offsets[:-1]] = np.arange(len(distinct) - len(heads), len(distinct))
         found = self._found(distinct)
         # Runs of blanks, blanks at an end, and stretches that do not stand alone: such texts go by themselves.
-        odd = [i for i, s in enumerate(distinct) if s in self.odd] if self.odd else []
+        odd = [i for i, v in enumerate(found) if v is _ALONE]
         if "" in distinct:
             odd.append(distinct.index(""))
         alone = ()
@@ -121,14 +128,12 @@ class Encoder:
         self.known = {s: v for s, v in self.known.items() if len(s) < 7}
         if len(self.known) > self.keep // 2:
             self.known = {}
-        self.odd.intersection_update(self.known)
 
     def _learn(self, new: set[str]) -> None:
         alone, together, counts = [], [], []
         for s in new:
             if (_ODD_RUN.search(s) if s[:1] == "\0" else _ODD.search(s)):
-                self.known[s] = b""
-                self.odd.add(s)
+                self.known[s] = _ALONE
             elif s[:1] == "\0":
                 alone.append((s, s[1:]))
             elif self.suffix is None:

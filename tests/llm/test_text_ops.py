@@ -195,6 +195,17 @@ def test_encoder_equals_whole_texts(name):
     assert e.encode_all([None, "", "<|endoftext|> a<|endoftext|>"])[:2] == [b"", b""]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_that_forgets_equals_whole_texts(name):
+    """Stretches that do not stand alone come again in the very call that makes the encoder forget."""
+    e = Encoder(tokenizer_file(name), keep=6)
+    odd = ["left tab\there and there", "one line\r\nand another", "a no-break\u00a0blank", "ends \nwith blanks", "wide\u3000blank stands"]
+    for i in range(6):
+        texts = [*odd, f"plain words {i}", *(f"longer{i}word{j} unheard{i}of{j}" for j in range(8)), "x y"]
+        assert e.encode_all(texts) == [e.whole(t) for t in texts]
+        assert all(e._join(t) == e.whole(t) for t in [*odd, f"again{i} other{i}words \tand tab\there"])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=60), st.integers(9, 16))
 def test_huffman_codes_are_limited_optimal_and_decodable(counts, limit):
