@@ -19,8 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from quarry.llm.runtime import Workspace, connected_components
 
@@ -47,15 +48,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
+def fingerprints(documents: DataFrame, width: int = 3, mark: Column | None = None) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint as a signed long) and ``mark`` (a long, zero if none is given) of every row."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), b.column("mark")], ["doc_id", "fp", "mark"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
+    return rows.mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 class BKTree:
@@ -119,30 +121,43 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return shards.repartition(n, "block", "value").sortWithinPartitions("block", "value", "fp").mapInArrow(search, "a long, b long")
 
 
+def _linked(ws: Workspace, rows: DataFrame, order: Column, radius: int) -> DataFrame:
+    """``fp, first, component`` of every fingerprint: the least ``order`` among its rows, and what links join."""
+    nodes = ws.table(rows.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
+    roots = connected_components(ws, ws.table(links(nodes.select("fp"), radius), "links"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return ws.table(named.select("fp", "first", "component"), "named")
+
+
 def components(spark: SparkSession, documents: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``documents``."""
     ws = Workspace(spark, "simhash")
-    fps = ws.table(fingerprints(documents, width), "fingerprints")
-    nodes = ws.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(ws, ws.table(links(nodes.select("fp"), radius), "links"))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = ws.table(named.select("fp", "first", "component"), "named")
+    fps = ws.table(fingerprints(documents, width).drop("mark"), "fingerprints")
+    named = _linked(ws, fps, F.col("doc_id"), radius)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = ws.table(named.join(smallest, "component").select("fp", "component_id"), "by_fp")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _mark(documents: DataFrame) -> Column:
+    """Tells rows that share a ``doc_id`` apart: a hash of their plain columns, and of whether there is a text, as nulls are skipped."""
+    return F.xxhash64(F.col("text").isNull(), *(F.col(f"`{f.name}`") for f in documents.schema if isinstance(f.dataType, AtomicType)))
+
+
 def keep_first(spark: SparkSession, documents: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """One row of each component, all columns: that of the smallest ``doc_id``.
+    """One row of each component, all columns: that of the smallest ``doc_id``, a null one last.
 
-    A document is known by its ``doc_id``; where several rows share the id that stays, one of them stays.
+    A row is known by its ``doc_id`` and a hash of the row, as ids may be null or shared by different
+    texts; of rows that repeat each other one stays.
     """
     ws = Workspace(spark, "simhash-keep")
-    found = components(spark, documents, radius, width)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    firsts = ws.table(firsts.select(F.col("doc_id").alias("__first"), "n"), "firsts")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__first"))
+    fps = ws.table(fingerprints(documents, width, _mark(documents)).groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "n")
+    firsts = _linked(ws, fps, order, radius).groupBy("component").agg(F.min("first").alias("first"))
+    firsts = ws.table(firsts.select(F.col("first.doc_id").alias("__first"), F.col("first.mark").alias("__row"), F.col("first.n").alias("__n")), "firsts")
+    marked = documents.withColumn("__mark", _mark(documents))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__first")) & (F.col("__mark") == F.col("__row"))
     # whatever the size, the ids are what is hashed, and the documents stream past them unsorted
-    single = documents.join(firsts.where("n = 1").hint("shuffle_hash"), same, "left_semi")
-    several = documents.join(firsts.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    single = marked.join(firsts.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
+    several = marked.join(firsts.where("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__mark"])
+    return single.unionByName(several).drop("__mark")

@@ -61,6 +61,19 @@ def test_simhash(spark, documents, nothing):
     assert simhash_bk.components(spark, nothing).count() == 0 and simhash_bk.keep_first(spark, nothing).count() == 0
 
 
+def test_keep_first_of_null_and_shared_ids(spark):
+    """Ids that are null or shared by different texts lose no text; copies still go, whatever their ids."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(None, text(n), None, "s") for n in range(5)] + [(None, text(0), None, "s"), (None, text(1), "en", None)]
+    rows += [(7, text(5), "en", "s"), (7, text(6), "en", "s"), (7, text(6), "en", "s"), (8, text(6), None, None), (None, text(6), "en", "s")]
+    rows += [(9, text(7), "en", "s"), (9, text(8), "en", "s"), (3, text(8), "en", "s"), (9, None, "en", "s"), (None, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = simhash_bk.keep_first(spark, docs)
+    want = [(None, text(n)) for n in range(5)] + [(7, text(5)), (7, text(6)), (9, text(7)), (3, text(8)), (9, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr) and got.columns == docs.columns
+
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, (1 << 64) - 1), unique=True, max_size=30), st.integers(0, 6))
 def test_bk_tree_finds_all_within_the_radius(values, radius):
