@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace
+from quarry.llm.runtime import Workspace, by_bytes
 from quarry.llm.token_ids import encoder
 
 
@@ -33,19 +33,19 @@ def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int
     """
 
     def run(batches):
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            keys, pieces, starts, lengths, crcs = [], [], [], [], []
-            for key, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer, remember).encode_all(b.column("text"))):
-                raw = memoryview(ids + end)
-                for i, lo in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[lo : lo + 4 * capacity]
-                    keys.append(key)
-                    pieces.append(i)
-                    starts.append(lo // 4)
-                    lengths.append(len(part) // 4)
-                    crcs.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        e = encoder(tokenizer, remember)
+        for b in by_bytes(batches, "text"):
+            for lo, hi, flat, edges in e.slabs(b.column("text"), end_id):
+                size = np.diff(edges)
+                count = -(-size // capacity)  # at least one: the end id
+                row = np.repeat(np.arange(hi - lo), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                data, at = memoryview(flat.astype("<u4")).cast("B"), 4 * (edges[row] + start)
+                crc = [zlib.crc32(data[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+                keys = b.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

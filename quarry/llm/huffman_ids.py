@@ -1,16 +1,17 @@
 """Token-id files: canonical length-limited Huffman codes over global id counts.
 
-A first pass encodes the texts and writes the ids, dealt by ranges of ``doc_id``; their counts
-give the code (package-merge, so no code is longer than the limit).  Each range becomes one file of
-documents in ascending ``doc_id``, cut into independent blocks of whole or part documents.  A block starts at a byte
+A first pass encodes the texts, writes the ids and counts them; the counts give the code (package-merge, so no
+code is longer than the limit).  Rows are dealt by ranges of (``doc_id``, checksum of the ids, place of the row), so that
+neither one id nor equal rows fill a task; a range becomes files of documents in ascending ``doc_id``, cut into
+independent blocks of whole or part documents.  A block starts at a byte
 and carries a bit offset for every ``STRIDE`` ids; a decoder starts at any checkpoint, and
 the reader here decodes all checkpoints of a block side by side with one table look-up per id.
 
 File: magic, code table (symbols, lengths), directory of (doc key, ids), blocks, each
-``n ids, n bytes, checkpoints, bytes``.  Files are named by range, so their names ascend with ``doc_id``.
+``n ids, n bytes, checkpoints, bytes``.  Files are named by range and number, so their names ascend with ``doc_id``.
 
 Defined results: a null text is empty and consists of the end id alone; rows that share a ``doc_id`` follow
-each other in the order of their ids' bytes; a null ``doc_id`` comes first; an empty table gives no file and no row.
+each other in the order of the CRC-32 of their ids; a null ``doc_id`` comes first; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -20,16 +21,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, small_enough, write_once
+from quarry.llm.runtime import Workspace, by_bytes, running_sum, small_enough, write_once
 from quarry.llm.token_ids import encoder
 
-MAGIC = b"QHUF0001"
-BLOCK = 1 << 17
+MAGIC = b"QHUF0002"
+BLOCK = 1 << 19
 STRIDE = 256
-_NULL_KEY = -(1 << 63)
 
 
 def code_lengths(counts: np.ndarray, limit: int = 16) -> np.ndarray:
@@ -89,18 +89,25 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbol, bits, longest
 
 
-def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    size = lengths[ids].astype(np.int64)
-    at = np.r_[0, np.cumsum(size)]
-    total, at = int(at[-1]), at[:-1]
-    n_bytes = (total + 7) // 8
-    # A code of up to 25 bits lies within four bytes, of up to 17 in three; bits of different codes never meet, so sums are unions.
-    shifted = codes[ids] << (32 - size - (at & 7))
-    out = np.zeros(n_bytes + 4)
-    for k in range(3 if lengths.max() <= 17 else 4):
-        out += np.bincount((at >> 3) + k, weights=(shifted >> (24 - 8 * k)) & 255, minlength=n_bytes + 4)[: n_bytes + 4]
+def aligned(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The codes at the top of 64 bits."""
+    return np.where(lengths > 0, codes.astype(np.uint64) << (64 - np.maximum(lengths, 1).astype(np.uint64)), 0).astype(np.uint64)
+
+
+def encode_block(ids: np.ndarray, lengths: np.ndarray, high: np.ndarray) -> bytes:
+    """One block; ``high`` are the ``aligned`` codes, of at most 32 bits."""
+    size = lengths[ids]
+    ends = np.cumsum(size, dtype=np.int64)
+    total, at = int(ends[-1]), ends - size
+    n_bytes, words = (total + 7) // 8, (total + 31) // 32
+    # The bits of the codes that start in the same 32 never meet, so their sum is their union; what runs over goes to the next 32.
+    starts = np.searchsorted(at, 32 * np.arange(words))
+    joined = np.add.reduceat(high[ids] >> (at & 31).astype(np.uint64), starts[starts < len(ids)])
+    out = np.zeros(words + 1, np.uint64)
+    out[: len(joined)] = joined >> np.uint64(32)
+    out[1 : len(joined) + 1] += joined & np.uint64(0xFFFFFFFF)
     marks = at[::STRIDE].astype("<u4").tobytes()
-    return struct.pack("<II", len(ids), n_bytes) + marks + out[:n_bytes].astype(np.uint8).tobytes()
+    return struct.pack("<II", len(ids), n_bytes) + marks + out.astype(">u4").tobytes()[:n_bytes]
 
 
 def decode_block(data: memoryview, table: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, int]:
@@ -108,9 +115,9 @@ def decode_block(data: memoryview, table: tuple[np.ndarray, np.ndarray, int]) ->
     n, n_bytes = struct.unpack_from("<II", data)
     lanes = -(-n // STRIDE)
     marks = np.frombuffer(data, "<u4", lanes, 8).astype(np.int64)
-    body = np.frombuffer(data, np.uint8, n_bytes, 8 + 4 * lanes)
-    padded = np.r_[body, np.zeros(8, np.uint8)].astype(np.int64)
-    windows = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
+    body = np.zeros(n_bytes + 8, np.uint8)
+    body[:n_bytes] = np.frombuffer(data, np.uint8, n_bytes, 8 + 4 * lanes)
+    windows = np.ndarray(n_bytes + 4, ">u4", body.data, strides=(1,))  # the 32 bits from each byte on
     symbol, bits, longest = table
     out, mask = np.zeros((STRIDE, lanes), np.uint32), (1 << longest) - 1
     last = n - (lanes - 1) * STRIDE
@@ -123,22 +130,24 @@ def decode_block(data: memoryview, table: tuple[np.ndarray, np.ndarray, int]) ->
     return out.T.reshape(-1)[:n], 8 + 4 * lanes + n_bytes
 
 
-def encode_file(documents: list[tuple[int, np.ndarray]], lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    """One file of (doc key, ids)."""
+def encode_file(documents: list[tuple[int | None, np.ndarray]], lengths: np.ndarray, codes: np.ndarray) -> bytes:
+    """One file of (doc key, ids); documents without a key come first."""
     used = np.flatnonzero(lengths).astype("<u4")
-    keys = np.array([k for k, _ in documents], "<i8")
+    nulls = sum(k is None for k, _ in documents)
+    keys = np.array([0 if k is None else k for k, _ in documents], "<i8")
     sizes = np.array([len(x) for _, x in documents], "<i8")
-    head = [MAGIC, struct.pack("<III", len(lengths), len(used), len(keys)), used.tobytes(), lengths[used].tobytes(), keys.tobytes(), sizes.tobytes()]
+    head = [MAGIC, struct.pack("<IIII", len(lengths), len(used), len(keys), nulls), used.tobytes(), lengths[used].tobytes(), keys.tobytes(), sizes.tobytes()]
     ids = np.concatenate([x for _, x in documents]) if documents else np.zeros(0, np.uint32)
-    return b"".join(head + [encode_block(ids[lo : lo + BLOCK], lengths, codes) for lo in range(0, len(ids), BLOCK)])
+    high = aligned(lengths, codes)
+    return b"".join(head + [encode_block(ids[lo : lo + BLOCK], lengths, high) for lo in range(0, len(ids), BLOCK)])
 
 
 def decode_file(data: bytes):
     """Yields (doc key, ids) from a file; holds the ids of one document and one block."""
     if data[:8] != MAGIC:
         raise ValueError("no token-id file")
-    n_ids, n_used, n_docs = struct.unpack_from("<III", data, 8)
-    at = 20
+    n_ids, n_used, n_docs, nulls = struct.unpack_from("<IIII", data, 8)
+    at = 24
     used = np.frombuffer(data, "<u4", n_used, at)
     lengths = np.zeros(n_ids, np.uint8)
     lengths[used] = np.frombuffer(data, np.uint8, n_used, at + 4 * n_used)
@@ -148,104 +157,96 @@ def decode_file(data: bytes):
     table, view = decode_table(lengths), memoryview(data)
     held: list[np.ndarray] = [np.zeros(0, np.uint32)]
     have = 0
-    for key, size in zip(keys.tolist(), sizes.tolist()):
+    for i, (key, size) in enumerate(zip(keys.tolist(), sizes.tolist())):
         while have < size:
             ids, read = decode_block(view[at:], table)
             at += read
             held.append(ids)
             have += len(ids)
         ids = np.concatenate(held) if len(held) != 1 else held[0]
-        yield key, ids[:size]
+        yield None if i < nulls else key, ids[:size]
         held, have = [ids[size:]], have - size
 
 
-def tokenize(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """``doc_id, ids`` (bytes, two per id where the vocabulary allows, else four), end id included."""
+def tokenize(documents: DataFrame, tokenizer: str, counts: str, end_id: int = 0) -> DataFrame:
+    """``doc_id, crc, place, n, ids`` of every row, end id included; each task leaves a file of how often it met
+    each id in the folder ``counts``.  ``ids``: two bytes per id where the vocabulary allows, else four.
+    """
 
     def run(batches):
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            ids = [x + end for x in encoder(tokenizer, 2_000_000).encode_all(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack_ids(x) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
-
+        from pyspark import TaskContext
 
-def pack_ids(raw: bytes) -> bytes:
-    """Ids in two bytes each if all fit (first byte 2), else in four (first byte 4)."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or ids.max() < 65536 else b"\4" + raw
+        part, row, e = TaskContext.get().partitionId(), 0, encoder(tokenizer, 2_000_000)
+        total = np.zeros(max(len(e.mark), end_id + 1), np.int64)
+        for b in by_bytes(batches, "text"):
+            for lo, hi, flat, edges in e.slabs(b.column("text"), end_id):
+                total += np.bincount(flat, minlength=len(total))
+                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((edges * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+                data, at = memoryview(flat).cast("B"), (edges * flat.itemsize).tolist()
+                crc = pa.array([zlib.crc32(data[x:y]) for x, y in zip(at, at[1:])], pa.int64())
+                place = pa.array((part << 40) + row + np.arange(hi - lo))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), crc, place, pa.array(np.diff(edges)), ids], ["doc_id", "crc", "place", "n", "ids"])
+                row += hi - lo
+        write_once(f"{counts}/part-{part:08d}", total.astype("<i8").tobytes())
 
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, crc long, place long, n long, ids binary")
 
-def unpack_ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
+def unpack_ids(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
-def deal(tokens: DataFrame, file_ids: int) -> tuple[DataFrame, int]:
-    """``tokens`` with the number ``file`` of a range of ``doc_id`` of about ``file_ids`` ids, and how many files.
-
-    The borders come from quantiles of the ids (a few bytes per file), not from the documents.
-    """
-    total, rows = tokens.agg(F.sum("n"), F.count("*")).first()
-    n = max(1, -(-(total or 0) // file_ids))
-    if n == 1:
-        return tokens.withColumn("file", F.lit(0)), 1
-    borders = np.unique(np.array(tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or [], np.int64))
-
-    def assign(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            file = np.searchsorted(borders, ids.fill_null(_NULL_KEY).to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(file)], [*b.schema.names, "file"])
-
-    return tokens.mapInArrow(assign, "doc_id long, ids binary, n long, file int"), len(borders) + 1
 
+def count_ids(spark: SparkSession, counts: str) -> np.ndarray:
+    """How often each id occurs, from the files of the tasks."""
 
-def write_files(spark: SparkSession, documents: DataFrame, where: str, ws: Workspace, tokenizer: str, end_id: int = 0, limit: int = 16, file_ids: int = 1 << 21) -> None:
-    """Write the token-id files of ``documents`` into the folder ``where``."""
-    tokens = ws.table(tokenize(documents, tokenizer, end_id), "ids")
-
-    def count(batches):
+    def add(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                c = np.bincount(unpack_ids(x))
-                total, c = (total, c) if len(total) >= len(c) else (c, total)
-                total[: len(c)] += c
+            for data in b.column("content"):
+                c = np.frombuffer(data.as_buffer(), "<i8")
+                total = c + total if len(total) else c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary entry
-    counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(counts)
+    counted = files.select("content").mapInArrow(add, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary entry
+    out = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts, limit)
-    shared = spark.sparkContext.broadcast((lengths, canonical(lengths)[1]))
-    dealt, n = deal(tokens, file_ids)
+        out[r["id"]] = r["n"]
+    return out
 
-    def write(batches):
-        lengths, codes = shared.value
-        file, held, wrote = None, [], []
 
-        def close():
-            if held:
-                write_once(f"{where}/ids-{file:09d}.huf", encode_file(held, lengths, codes))
-                wrote.append((file, sum(len(x) for _, x in held)))
-                held.clear()
+def write_files(spark: SparkSession, documents: DataFrame, where: str, ws: Workspace, tokenizer: str, end_id: int = 0, limit: int = 16, file_ids: int = 1 << 22) -> None:
+    """Write the token-id files of ``documents`` into the folder ``where``."""
+    counted = ws.path("counts")
+    tokens = ws.table(tokenize(documents, tokenizer, counted, end_id), "ids")
+    total = tokens.agg(F.sum("n")).first()[0]
+    if not total:
+        return
+    lengths = code_lengths(count_ids(spark, counted), limit)
+    shared = spark.sparkContext.broadcast((lengths, canonical(lengths)[1]))  # two numbers per vocabulary entry
 
-        for b in batches:
-            for f, key, ids in zip(b.column("file").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                if f != file:
-                    close()
-                    file = f
-                held.append((_NULL_KEY if key is None else key, unpack_ids(ids)))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in wrote], pa.int32()), pa.array([k for _, k in wrote], pa.int64())], ["file", "n"])
+    def write(batches):
+        from pyspark import TaskContext
 
-    parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    placed = dealt.repartition(parts, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
-    placed.select("file", "doc_id", "ids").mapInArrow(write, "file int, n long").agg(F.sum("n")).collect()
-    ws.drop(tokens)
+        lengths, codes = shared.value
+        part, wrote, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in batches:
+            for key, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
+                held.append((key, unpack_ids(ids, n)))
+                size += n
+                if size >= file_ids:  # the rows of a task are in a fixed order, so a repeated task writes the same files
+                    write_once(f"{where}/ids-{part:08d}-{wrote:06d}.huf", encode_file(held, lengths, codes))
+                    wrote, held, size = wrote + 1, [], 0
+        if held:
+            write_once(f"{where}/ids-{part:08d}-{wrote:06d}.huf", encode_file(held, lengths, codes))
+            wrote += 1
+        yield pa.RecordBatch.from_arrays([pa.array([wrote], pa.int32())], ["files"])
+
+    parts = max(1, min(-(-total // file_ids), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    order = [F.col("doc_id").asc_nulls_first(), "crc", "place"]
+    tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(write, "files int").agg(F.sum("files")).collect()
+    ws.drop(tokens, counted)
 
 
 def read_files(spark: SparkSession, where: str) -> DataFrame:
@@ -254,17 +255,16 @@ def read_files(spark: SparkSession, where: str) -> DataFrame:
     def read(batches):
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content")):
-                file = int(name.rsplit("ids-", 1)[1][:9])
+                part, number = (int(x) for x in name.rsplit("ids-", 1)[1].removesuffix(".huf").split("-"))
                 rows, inner = [], 0
-                for at, (key, ids) in enumerate(decode_file(data.as_buffer().to_pybytes())):
-                    rows.append((file, at, None if key == _NULL_KEY else key, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), inner))
+                for at, (key, ids) in enumerate(decode_file(data.as_buffer())):
+                    rows.append((part << 24 | number, at, key, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), inner))
                     inner += len(ids)
                 names = ["file", "at", "doc_id", "n_tokens", "ids_crc32", "inner"]
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.huf").load(where)
-    return files.select("path", "content").mapInArrow(read, "file int, at long, doc_id long, n_tokens long, ids_crc32 long, inner long")
+    return files.select("path", "content").mapInArrow(read, "file long, at long, doc_id long, n_tokens long, ids_crc32 long, inner long")
 
 
 def round_trip(spark: SparkSession, documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
@@ -276,7 +276,7 @@ def round_trip(spark: SparkSession, documents: DataFrame, tokenizer: str = "byte
     if not fs.exists(path):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = ws.table(read_files(spark, where), "read")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # one row per file
-    base = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    base = F.broadcast(base) if small_enough(spark, totals.count(), 16) else base
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("all", F.lit(0))  # one row per file
+    base = ws.table(running_sum(ws, totals, "all", ["file"], "total", "base").select("file", "base"), "bases")
+    base = F.broadcast(base) if small_enough(spark, base.count(), 16) else base
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

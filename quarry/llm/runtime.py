@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,19 @@ class Workspace:
                 fs.delete(path, True)
 
 
+def by_bytes(batches, column: str, limit: int = 8 << 20):
+    """Arrow batches joined until the strings of ``column`` fill ``limit`` bytes: what is held does not depend on the number of rows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def files(uri: str):
     """(file system, path) of pyarrow for a URI; used by tasks that write or read whole files."""
     from pyarrow import fs

@@ -202,7 +202,7 @@ def test_encoder_equals_whole_texts(name):
     @settings(max_examples=400, deadline=None)
     @given(st.lists(st.text(st.sampled_from(list("abé.,!'1_\n\t  　İßǺ\r😀<|>")), max_size=30), max_size=4))
     def same(texts):
-        assert e.encode_all(texts) == [e.whole(t) for t in texts]
+        assert e.encode_all(texts) == [e.whole(t).tobytes() for t in texts]
 
     same()
     assert e.encode_all([None, "", "<|endoftext|> a<|endoftext|>"])[:2] == [b"", b""]
@@ -215,8 +215,8 @@ def test_encoder_that_forgets_equals_whole_texts(name):
     odd = ["left tab\there and there", "one line\r\nand another", "a no-break\u00a0blank", "ends \nwith blanks", "wide\u3000blank stands"]
     for i in range(6):
         texts = [*odd, f"plain words {i}", *(f"longer{i}word{j} unheard{i}of{j}" for j in range(8)), "x y"]
-        assert e.encode_all(texts) == [e.whole(t) for t in texts]
-        assert all(e._join(t) == e.whole(t) for t in [*odd, f"again{i} other{i}words \tand tab\there"])
+        assert e.encode_all(texts) == [e.whole(t).tobytes() for t in texts]
+        assert all(e._join(t).tolist() == e.whole(t).tolist() for t in [*odd, f"again{i} other{i}words \tand tab\there"])
 
 
 @settings(max_examples=60, deadline=None)
@@ -241,9 +241,10 @@ def test_huffman_codes_are_limited_optimal_and_decodable(counts, limit):
     ids = np.repeat(np.arange(len(counts)), counts).astype(np.uint32)
     np.random.default_rng(1).shuffle(ids)
     cut = len(ids) // 3
-    data = huffman_ids.encode_file([(5, ids[:cut]), (6, ids[cut:cut]), (7, ids[cut:])], lengths, huffman_ids.canonical(lengths)[1])
+    low = -(1 << 63)
+    data = huffman_ids.encode_file([(None, ids[:cut]), (low, ids[cut:cut]), (7, ids[cut:])], lengths, huffman_ids.canonical(lengths)[1])
     back = list(huffman_ids.decode_file(data))
-    assert [k for k, _ in back] == [5, 6, 7] and all((a == b).all() for (_, a), b in zip(back, (ids[:cut], ids[cut:cut], ids[cut:])))
+    assert [k for k, _ in back] == [None, low, 7] and all((a == b).all() for (_, a), b in zip(back, (ids[:cut], ids[cut:cut], ids[cut:])))
 
 
 def tokenized(name, rows):
@@ -254,8 +255,8 @@ def tokenized(name, rows):
 def test_token_files(spark, documents, nothing, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     ids = tokenized("byte_bpe_50k.json", [t for _, t in rows])
-    packed = [huffman_ids.pack_ids(np.array(x, "<u4").tobytes()) for x in ids]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, packed[i]))
+    crc = [zlib.crc32(np.array(x, "<u2").tobytes()) for x in ids]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, crc[i]))
     want, at = [], 0
     for i in order:
         want.append((rows[i][0], at, len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes())))
@@ -326,3 +327,11 @@ def test_bound_never_exceeds_the_optimum(items):
     bound = bound_packing.lower_bound(np.array(items), 12)
     b, offset, fill = bound_packing.best_fit_decreasing(np.array(items), 12)
     assert bound <= best <= len(fill) and fill.max() <= 12 and fill.sum() == sum(items)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_whole_texts_of_the_corpus(spark, name):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    e = Encoder(tokenizer_file(name), keep=50_000)
+    whole = e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert e.encode_all(texts) == [np.array(x.ids, "<u4").tobytes() for x in whole]
