@@ -42,6 +42,12 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: (t != "") & (F.length(t) <= MAX_TOKEN))
 
 
+def first_token(text: Column) -> Column:
+    """The first of ``tokens``, null if there is none; found without splitting the text."""
+    found = F.regexp_extract(F.lower(text), r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{1,%d}(?![\p{L}\p{N}])" % MAX_TOKEN, 0)
+    return F.when(found != "", found)
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4).cast("long")
 

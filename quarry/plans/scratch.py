@@ -22,11 +22,17 @@ def folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in that folder, removed when the JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new name in that folder, removed when the JVM ends."""
     where = f"{folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in that folder."""
+    spark = df.sparkSession
+    where = scratch(spark, name)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)

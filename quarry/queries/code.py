@@ -20,8 +20,23 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(C.calls(spark, sf_dir), C.files(spark, sf_dir), C.documents(spark, sf_dir), C.no_imports(spark))
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.classify(_resolved(spark, sf_dir), C.files(spark, sf_dir), C.documents(spark, sf_dir), C.no_imports(spark))
+def _classified(spark: SparkSession, sf_dir: str, calls: DataFrame | None = None) -> DataFrame:
+    return resolve.classify(_resolved(spark, sf_dir) if calls is None else calls, C.files(spark, sf_dir), C.documents(spark, sf_dir), C.no_imports(spark))
+
+
+def _of_root(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the classified calls of the root, the root)."""
+    calls = settle(_resolved(spark, sf_dir), "calls")
+    root = _root(spark, calls)
+    return _classified(spark, sf_dir, calls.join(root.withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id", "left_semi")), root
+
+
+def _within_reach(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the classified calls of the chunks that a walk expands, its root): calls beyond its reach are not classified."""
+    calls = settle(_resolved(spark, sf_dir), "calls")  # every level of the walk reads them
+    root = _root(spark, calls)
+    met = graph.frontiers(calls, root, DEPTH - 1).select(F.col("chunk_id").alias("caller_chunk_id")).distinct()
+    return settle(_classified(spark, sf_dir, calls.join(met, "caller_chunk_id", "left_semi")), "reached"), root
 
 
 def unique_symbol_global(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +78,9 @@ def import_kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_via_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls resolved with imports that name the modules of other files."""
-    files = C.files(spark, sf_dir).where("file_id % 4 = 0").withColumn("path", F.concat(F.lit("m"), F.col("file_id").cast("string"), F.lit(".py"))).withColumn("lang", F.lit("python"))
-    chunks = C.documents(spark, sf_dir).where("file_id % 4 = 0")
-    calls = C.calls(spark, sf_dir).where("caller_chunk_id % 4 = 0")
-    imports = calls.select(F.col("call_id").alias("import_id"), F.col("caller_chunk_id").alias("file_id"), F.col("column").alias("ord"), F.concat(F.lit("m"), (F.col("caller_chunk_id") + 4).cast("string")).alias("source"), F.col("callee_name").alias("symbol"), F.lit(None).cast("string").alias("alias"), F.lit(False).alias("is_default"))
+    files = C.files(spark, sf_dir).withColumn("path", F.concat(F.lit("m"), F.col("file_id").cast("string"), F.lit(".py"))).withColumn("lang", F.lit("python"))
+    chunks, calls = C.documents(spark, sf_dir), C.calls(spark, sf_dir)
+    imports = calls.select(F.col("call_id").alias("import_id"), F.col("caller_chunk_id").alias("file_id"), F.col("column").alias("ord"), F.concat(F.lit("m"), (F.col("caller_chunk_id") + 1).cast("string")).alias("source"), F.col("callee_name").alias("symbol"), F.lit(None).cast("string").alias("alias"), F.lit(False).alias("is_default"))
     return resolve.resolve(calls, files, chunks, imports).select("call_id", "resolved_chunk_id")
 
 
@@ -115,9 +129,7 @@ def callers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = settle(_classified(spark, sf_dir), "calls")
-    calls = calls.join(_root(spark, calls).withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id")
-    return resolve.callees(calls, C.files(spark, sf_dir), C.documents(spark, sf_dir)).select("call_id", "callee_name", "target_kind", "resolved_symbol", "resolved_file", "resolved_line")
+    return resolve.callees(_of_root(spark, sf_dir)[0], C.files(spark, sf_dir), C.documents(spark, sf_dir)).select("call_id", "callee_name", "target_kind", "resolved_symbol", "resolved_file", "resolved_line")
 
 
 def _root(spark: SparkSession, calls: DataFrame) -> DataFrame:
@@ -134,13 +146,12 @@ def callgraph_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calls = settle(_classified(spark, sf_dir), "calls")
-    return graph.build(calls, _root(spark, calls), C.files(spark, sf_dir), C.documents(spark, sf_dir), DEPTH)
+    calls, root = _within_reach(spark, sf_dir)
+    return graph.build(calls, root, C.files(spark, sf_dir), C.documents(spark, sf_dir), DEPTH)
 
 
 def callgraph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = settle(_classified(spark, sf_dir), "calls")
-    return graph.walk(calls, _root(spark, calls), DEPTH).select("depth", "caller_chunk_id", "call_id", "resolved_chunk_id", "target_kind")
+    return graph.walk(*_within_reach(spark, sf_dir), DEPTH).select("depth", "caller_chunk_id", "call_id", "resolved_chunk_id", "target_kind")
 
 
 def callgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +182,7 @@ def callers_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callees_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, chunks = C.files(spark, sf_dir), C.documents(spark, sf_dir)
-    calls = settle(_classified(spark, sf_dir), "calls")
-    root = _root(spark, calls)
-    calls = calls.join(root.withColumnRenamed("chunk_id", "caller_chunk_id"), "caller_chunk_id")
+    calls, root = _of_root(spark, sf_dir)
     head = chunks.join(root, "chunk_id").join(files.select("file_id", F.col("path").alias("file")), "file_id").select("symbol", "file", F.col("start_line").alias("line"))
     return output.callees_jsonl(head, resolve.callees(calls, files, chunks))
 
@@ -209,7 +218,7 @@ _NODES = f"""{_EDGES}, met AS (
         SELECT chunk_id AS c, CAST(NULL AS VARCHAR) AS name, 'project' AS kind, 0 AS depth FROM root
         UNION ALL SELECT resolved_chunk_id, CASE WHEN resolved_chunk_id IS NULL THEN callee_name END, target_kind, depth + 1 FROM edges
     )"""
-_CALLERS = """SELECT f.path AS caller_file, 1 AS call_line, r."column" AS call_column, r.callee_name FROM resolved r JOIN files f ON f.file_id = r.caller_chunk_id WHERE {where}"""
+_CALLERS = """SELECT f.path AS caller_file, r.line AS call_line, r."column" AS call_column, r.callee_name FROM resolved r JOIN files f ON f.file_id = r.caller_chunk_id WHERE {where}"""
 CLASSIFY_SQL = f"""
     WITH x AS (
         SELECT ['python', 'typescript', 'go', 'java', 'rust', 'c', 'cpp', 'css'][o_orderkey % 8 + 1] AS lang, [{_list(_WORDS_BY_LANGUAGE)}][CAST(floor(o_orderkey / 3) AS BIGINT) % 10 + 1] AS callee_name,
@@ -244,10 +253,10 @@ IMPORT_KINDS_SQL = f"""
     SELECT file_id, local, ['external', 'stdlib', 'project'][max(w)] AS import_kind FROM k GROUP BY 1, 2
 """
 VIA_SQL = f"""
-    WITH {C.FILES_SQL}, {C.CALLS_SQL}, c AS (SELECT * FROM calls WHERE caller_chunk_id % 4 = 0), d AS (SELECT file_id, symbol FROM files WHERE file_id % 4 = 0 AND symbol IS NOT NULL),
+    WITH {C.FILES_SQL}, {C.CALLS_SQL}, c AS (SELECT * FROM calls), d AS (SELECT file_id, symbol FROM files WHERE symbol IS NOT NULL),
     one AS (SELECT symbol, min(file_id) AS chunk_id FROM d GROUP BY 1 HAVING count(*) = 1)
     SELECT call_id, coalesce(h.file_id, v.file_id, one.chunk_id) AS resolved_chunk_id
-    FROM c LEFT JOIN d h ON h.file_id = caller_chunk_id AND h.symbol = callee_name LEFT JOIN d v ON v.file_id = caller_chunk_id + 4 AND v.symbol = callee_name LEFT JOIN one ON one.symbol = callee_name
+    FROM c LEFT JOIN d h ON h.file_id = caller_chunk_id AND h.symbol = callee_name LEFT JOIN d v ON v.file_id = caller_chunk_id + 1 AND v.symbol = callee_name LEFT JOIN one ON one.symbol = callee_name
 """
 SQL = {
     "unique_symbol_global": f"WITH {C.FILES_SQL} SELECT symbol, min(file_id) AS chunk_id FROM files WHERE symbol IS NOT NULL GROUP BY 1 HAVING count(*) = 1",
@@ -267,7 +276,7 @@ SQL = {
     "callgraph_frontiers": f"{_BASE}, {_ROOT}, {_WALK} SELECT depth, count(*) AS n FROM fr GROUP BY 1",
     "callgraph_walk": f"{_EDGES} SELECT depth, caller_chunk_id, call_id, resolved_chunk_id, target_kind FROM edges",
     "callgraph_nodes": f"{_NODES} SELECT coalesce(f.symbol, name) AS symbol, f.path AS file, min(depth) AS depth, kind AS target_kind FROM met LEFT JOIN files f ON f.file_id = met.c GROUP BY met.c, name, kind, f.symbol, f.path",
-    "callgraph_edges": f"{_EDGES} SELECT a.symbol AS from_symbol, a.path AS from_file, coalesce(b.symbol, callee_name) AS to_symbol, b.path AS to_file, 1 AS call_line, \"column\" AS call_column FROM edges e JOIN files a ON a.file_id = e.caller_chunk_id LEFT JOIN files b ON b.file_id = e.resolved_chunk_id",
+    "callgraph_edges": f"{_EDGES} SELECT a.symbol AS from_symbol, a.path AS from_file, coalesce(b.symbol, callee_name) AS to_symbol, b.path AS to_file, e.line AS call_line, \"column\" AS call_column FROM edges e JOIN files a ON a.file_id = e.caller_chunk_id LEFT JOIN files b ON b.file_id = e.resolved_chunk_id",
     "dot_export": f"""{_EDGES} SELECT '  "' || a.symbol || '\\n' || a.path || ':1" -> "' || coalesce(b.symbol || '\\n' || b.path || ':1', callee_name) || '";' AS line
         FROM edges e JOIN files a ON a.file_id = e.caller_chunk_id LEFT JOIN files b ON b.file_id = e.resolved_chunk_id""",
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking
+from quarry.plans.scratch import scratch
 
 WINDOW, OVERLAP = 10, 2
 
@@ -19,7 +22,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.when(F.col("lang") == "en", "py").when(F.col("lang") == "de", "rs").when(F.col("lang") == "fr", "ts").otherwise("go")
     path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext)
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.lit("").alias("lang"), F.try_element_at(T.tokens(F.col("text")), F.lit(1)).alias("symbol"), "text")
+    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.lit("").alias("lang"), T.first_token(F.col("text")).alias("symbol"), "text")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +37,30 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call sites: the tokens of a document's first line after the first."""
-    first = F.element_at(F.split("text", "\n", -1), 1)
-    at = files(spark, sf_dir).select("file_id", F.posexplode(T.tokens(first)).alias("pos", "callee_name")).where("pos > 0")
+    """Call sites: the tokens of all lines of a document, but for the one that opens the first line."""
+    lines = files(spark, sf_dir).select("file_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
+    at = lines.select("file_id", (F.col("line") + 1).alias("line"), F.posexplode(T.tokens(F.col("words"))).alias("pos", "callee_name")).where("pos > 0 or line > 1")
     return at.select(
-        (F.col("file_id") * 100000 + F.col("pos")).alias("call_id"), F.col("file_id").alias("caller_chunk_id"), "callee_name", F.lit(1).alias("line"),
+        ((F.col("file_id") * 100000 + F.col("line")) * 100000 + F.col("pos")).alias("call_id"), F.col("file_id").alias("caller_chunk_id"), "callee_name", "line",
         F.col("pos").alias("column"), F.lit(False).alias("is_method"), F.lit(None).cast("string").alias("receiver"),
     )
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of an index over ``documents``: written when first asked for, and anew where the table has changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, name, status.getModificationTime(), status.getLen())
+    if key not in _BUILT:
+        where = scratch(spark, name)
+        write(where)
+        _BUILT[key] = where
+    return _BUILT[key]
+
+
 def no_imports(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "import_id long, file_id long, ord int, source string, symbol string, alias string, is_default boolean")
 
@@ -87,10 +105,11 @@ def windows_sql(size: int = WINDOW, overlap: int = OVERLAP) -> str:
 
 
 CALLS_SQL = f"""calls AS (
-    SELECT file_id * 100000 + pos AS call_id, file_id AS caller_chunk_id, callee_name, pos AS "column"
-    FROM (SELECT file_id, unnest(t) AS callee_name, unnest(generate_series(0, len(t) - 1)) AS pos
-          FROM (SELECT file_id, {tokens_sql("string_split(text, chr(10))[1]")} AS t FROM files) WHERE len(t) > 0)
-    WHERE pos > 0
+    SELECT (file_id * 100000 + line) * 100000 + pos AS call_id, file_id AS caller_chunk_id, callee_name, line, pos AS "column"
+    FROM (SELECT file_id, line, unnest(t) AS callee_name, unnest(generate_series(0, len(t) - 1)) AS pos
+          FROM (SELECT file_id, line, {tokens_sql("words")} AS t
+                FROM (SELECT file_id, unnest(string_split(text, chr(10))) AS words, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM files)) WHERE len(t) > 0)
+    WHERE pos > 0 OR line > 1
 ), lone AS (
     SELECT symbol, min(file_id) AS chunk_id FROM files WHERE symbol IS NOT NULL GROUP BY symbol HAVING count(*) = 1
 ), in_file AS (SELECT file_id, symbol FROM files WHERE symbol IS NOT NULL),

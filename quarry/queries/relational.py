@@ -113,7 +113,7 @@ _WINDOW_IDS = f"WITH {C.windows_sql()}, ch AS (SELECT file_id * 100000 + start_l
 def inner_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup of many ids with their parents' names: orders, customers, nations."""
     orders, customers, nations = (C.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    return orders.where("o_orderkey % 10 = 0").join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
 
 
 def callers_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def callers_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 def callees_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their part, missing where the part is expensive."""
     parts = C.table(spark, sf_dir, "part").where("p_retailprice < 1200").select("p_partkey", "p_name")
-    return C.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_partkey", "p_name")
+    return C.table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_partkey", "p_name")
 
 
 def in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +173,9 @@ SQL = {
         WITH d AS (SELECT doc_id % 10 AS part, count(*) AS c FROM documents GROUP BY 1), o AS (SELECT o_orderkey % 10 AS part, count(*) AS l FROM orders GROUP BY 1), e AS (SELECT vec_id % 10 AS part, count(*) AS v FROM embeddings GROUP BY 1)
         SELECT part, CASE WHEN part = 2 THEN 'dirty' WHEN part >= 6 AND coalesce(l, 0) <> c THEN 'lexical' WHEN part < 4 AND coalesce(v, 0) > 0 AND v <> c THEN 'vectors' ELSE 'ok' END AS verdict
         FROM d LEFT JOIN o USING (part) LEFT JOIN e USING (part)""",
-    "inner_hydrate": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 10 = 0",
+    "inner_hydrate": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
     "callers_three_way": _CALLERS,
-    "callees_left": "SELECT l_orderkey, l_partkey, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_retailprice < 1200) ON l_partkey = p_partkey WHERE l_linenumber = 1",
+    "callees_left": "SELECT l_orderkey, l_partkey, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_retailprice < 1200) ON l_partkey = p_partkey",
     "in_list": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1",
     "semi_update": f"WITH {C.FILES_SQL}, {C.CALLS_SQL} SELECT call_id, CASE WHEN caller_chunk_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN NULL ELSE caller_chunk_id % 97 END AS target FROM calls",
     "ordered_lookup": f"""SELECT caller_file, CASE WHEN "column" % 3 <> 0 THEN "column" END AS "column", call_id,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators import fusion, lexical, ranking, vector
+from quarry.plans.scratch import scratch
 from quarry.plans.search import Fusion, SearchEngine
 from quarry.queries import corpus as C
 
@@ -20,10 +21,24 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def lexical_index(spark: SparkSession, sf_dir: str, *fields: str) -> lexical.Index:
+    """Built once for a table and read by every search after that."""
+    return lexical.Index.read(spark, C.built(spark, sf_dir, "lexical-" + "-".join(fields), lambda where: _build(spark, sf_dir, fields).write(where)))
+
+
+def _build(spark: SparkSession, sf_dir: str, fields: tuple[str, ...]) -> lexical.Index:
     columns = {"content": F.col("text"), "symbol": F.col("symbol"), "file": F.col("path"), "kind": F.lit("function")}
     return lexical.Index.build(C.files(spark, sf_dir), "file_id", {f: columns[f] for f in fields})
 
 
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical index of contents and symbols, built and written anew: documents and postings of each field."""
+    where = scratch(spark, "index")
+    _build(spark, sf_dir, ("content", "symbol")).write(where)
+    index = lexical.Index.read(spark, where)
+    docs = index.lengths.groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    return docs.join(index.postings.groupBy("field").agg(F.count("*").alias("postings")), "field")
+
+
 def _found(hits: DataFrame) -> DataFrame:
     return _round(hits.withColumnRenamed("id", "file_id"), "score")
 
@@ -288,7 +303,12 @@ def _hydrate_sql() -> str:
 
 
 def engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
-    return SearchEngine(lexical_index(spark, sf_dir, "content", "symbol"), vector_index(spark, sf_dir), C.documents(spark, sf_dir), C.files(spark, sf_dir))
+    def write(where: str) -> None:
+        C.documents(spark, sf_dir).write.parquet(f"{where}/chunks")
+        C.files(spark, sf_dir).drop("text").write.parquet(f"{where}/files")
+
+    stored = C.built(spark, sf_dir, "stored", write)
+    return SearchEngine(lexical_index(spark, sf_dir, "content", "symbol"), vector_index(spark, sf_dir), spark.read.parquet(f"{stored}/chunks"), spark.read.parquet(f"{stored}/files"))
 
 
 def _shown(results: DataFrame) -> DataFrame:
@@ -316,7 +336,7 @@ def search_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_rare, bm25_two_field, bm25_field_term, bm25_must_not, bm25_phrase, bm25_after_delete, bm25_doc_count, knn_topk, knn_tombstoned,
+    index_build, bm25_topk, bm25_rare, bm25_two_field, bm25_field_term, bm25_must_not, bm25_phrase, bm25_after_delete, bm25_doc_count, knn_topk, knn_tombstoned,
     knn_batch, cosine_pairs, l2_norm, vector_count, rrf_two, rrf_three, weighted_fusion, weighted_degenerate, rerank_symbol, rerank_full,
     dedupe_overlap, hydrate_hits, search_lexical, search_semantic, search_hybrid, search_hybrid_weighted, search_deduped,
 )}
@@ -346,6 +366,8 @@ def _engine_lists(k: int) -> str:
 _FUSED = "SELECT id, sum(1.0 / (60 + rank + 1)) AS score FROM (SELECT id, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) - 1 AS rank FROM lists) GROUP BY id ORDER BY score DESC, id LIMIT 10"
 _MIXED = f"SELECT id, sum(CASE list WHEN 'lexical' THEN 0.6 ELSE 0.4 END * {_SCALED}) AS score FROM {_MINMAX.format(lists='lists')} GROUP BY id ORDER BY score DESC, id LIMIT 10"
 SQL = {
+    "index_build": f"""WITH {C.FILES_SQL}, t AS (SELECT 'content' AS field, {C.tokens_sql("text")} AS tokens FROM files UNION ALL SELECT 'symbol', {C.tokens_sql("coalesce(symbol, '')")} FROM files)
+        SELECT field, count(*) AS docs, CAST(sum(len(tokens)) AS BIGINT) AS tokens, CAST(sum(len(list_distinct(tokens))) AS BIGINT) AS postings FROM t GROUP BY 1""",
     "bm25_topk": bm25_sql(["content"], _should(WORDS, "content")),
     "bm25_rare": bm25_sql(["content"], _should("idiot worthless", "content"), 100),
     "bm25_two_field": bm25_sql(["content", "symbol"], _should(WORDS, "content", "symbol")),

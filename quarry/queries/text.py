@@ -83,7 +83,8 @@ def preprocess_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier splitting over texts, part names and order priorities joined like identifiers."""
     texts = C.files(spark, sf_dir).select(F.concat(F.lit("doc:"), F.col("file_id").cast("string")).alias("key"), F.col("text").alias("x"))
     parts = C.table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"), F.regexp_replace(F.initcap("p_name"), " ", "").alias("x"))
-    return texts.unionByName(parts).select("key", F.md5(T.split_identifiers(F.col("x"))).alias("words_md5"))
+    orders = C.table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), F.regexp_replace(F.initcap("o_orderpriority"), "[ -]", "").alias("x"))
+    return texts.unionByName(parts).unionByName(orders).select("key", F.md5(T.split_identifiers(F.col("x"))).alias("words_md5"))
 
 
 _SPLIT_ONCE = "regexp_replace({x}, '([\\p{{Ll}}\\p{{Lu}}])(\\p{{Lu}})', '\\1 \\2', 'g')"
@@ -92,6 +93,8 @@ PREPROCESS_SQL = f"""
         SELECT 'doc:' || doc_id AS key, text AS x FROM documents WHERE text IS NOT NULL
         UNION ALL
         SELECT 'part:' || p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') FROM part
+        UNION ALL
+        SELECT 'order:' || o_orderkey, replace(array_to_string(list_transform(string_split(o_orderpriority, ' '), lambda w: upper(w[1]) || lower(w[2:])), ''), '-', '') FROM orders
     )
     SELECT key, md5(trim(regexp_replace({_SPLIT_ONCE.format(x=_SPLIT_ONCE.format(x="substring(x, 1, 8192)"))}, '[\\s_]+', ' ', 'g'))) AS words_md5 FROM x
 """

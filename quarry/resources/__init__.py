@@ -53,6 +53,21 @@ C_FUNCTIONS = (
     "strcmp", "strncmp", "strchr", "strrchr", "strstr", "strtok", "tolower", "toupper", "isalnum", "isalpha", "isdigit",
     "isspace",
 )
-# Python's own lists, as the interpreter knows them.
-PYTHON_BUILTINS = tuple(sorted(set(dir(builtins)) | {"__build_class__", "__debug__"}))
-PYTHON_MODULES = tuple(sorted(sys.stdlib_module_names))
+# Python's own lists: the interpreter's names, with those of modules it no longer has and without those that are
+# not counted, so that they do not depend on its version.
+PYTHON_RETIRED = (
+    "_msi", "_sha256", "_sha512", "aifc", "asynchat", "asyncore", "audioop", "cgi", "cgitb", "chunk", "crypt", "distutils",
+    "imghdr", "imp", "lib2to3", "mailcap", "msilib", "nis", "nntplib", "pipes", "smtpd", "sndhdr", "sunau", "telnetlib",
+)
+PYTHON_UNCOUNTED = (
+    "_aix_support", "_android_support", "_asyncio", "_codecs_cn", "_codecs_hk", "_codecs_iso2022", "_codecs_jp", "_codecs_kr",
+    "_codecs_tw", "_colorize", "_curses_panel", "_dbm", "_frozen_importlib", "_frozen_importlib_external", "_gdbm",
+    "_interpchannels", "_interpqueues", "_interpreters", "_ios_support", "_lsprof", "_opcode_metadata", "_overlapped",
+    "_posixsubprocess", "_pydatetime", "_pylong", "_pyrepl", "_scproxy", "_sha2", "_sitebuiltins", "_sre", "_strptime",
+    "_suggestions", "_symtable", "_sysconfig", "_tokenize", "_winapi", "_wmi", "_zoneinfo", "genericpath", "grp", "idlelib",
+    "nt", "ntpath", "nturl2path", "opcode", "posixpath", "pydoc_data", "pyexpat", "sre_compile", "sre_constants", "sre_parse",
+    "syslog", "termios", "this", "tomllib", "turtledemo", "zoneinfo",
+)
+BUILTINS_UNCOUNTED = ("Ellipsis", "False", "None", "PythonFinalizationError", "True", "_IncompleteInputError", "copyright", "credits", "exit", "license", "quit")
+PYTHON_BUILTINS = tuple(sorted((set(dir(builtins)) | {"__build_class__", "__debug__", "help"}) - set(BUILTINS_UNCOUNTED)))
+PYTHON_MODULES = tuple(sorted((set(sys.stdlib_module_names) | set(PYTHON_RETIRED)) - set(PYTHON_UNCOUNTED)))

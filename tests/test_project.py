@@ -125,3 +125,23 @@ def test_projects(tmp_path):
     with pytest.raises(ProjectError):
         Project.init(tmp_path)
     Project.init(tmp_path, force=True)
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    """A folder's patterns hold below it, and the deeper file decides."""
+    from quarry.sources import files
+
+    tree = {
+        ".gitignore": "*.gen.py\n/only_root.py\n", "a.gen.py": "", "only_root.py": "", "pkg/only_root.py": "",
+        "pkg/.gitignore": "# local\nlocal.py\n/top.py\n!keep.gen.py\nsub/deep.py\n", "local.py": "", "top.py": "", "pkg/local.py": "", "pkg/in/local.py": "",
+        "pkg/top.py": "", "pkg/in/top.py": "", "pkg/keep.gen.py": "", "pkg/in/keep.gen.py": "", "pkg/sub/deep.py": "", "sub/deep.py": "", "pkg/in/sub/deep.py": "",
+        "pkg/in/.gitignore": "keep.gen.py\n",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text or "x = 1\n")
+    found = files.listing(spark, str(tmp_path))
+    kept = {"pkg/only_root.py", "local.py", "top.py", "pkg/in/top.py", "pkg/keep.gen.py", "sub/deep.py", "pkg/in/sub/deep.py"}
+    assert {r["path"] for r in found.collect()} == kept
+    read = files.contents(spark, str(tmp_path), found.where("path in ('local.py', 'top.py')"))
+    assert sorted((r["path"], bytes(r["raw"])) for r in read.collect()) == [("local.py", b"x = 1\n"), ("top.py", b"x = 1\n")]
