@@ -2,10 +2,13 @@
 
 import gzip
 import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.llm import multiprobe_lsh, pu_quality, queries, subsequence_svm, taat_topk, warc_salvage
@@ -136,10 +139,34 @@ def test_multiprobe(spark):
     assert multiprobe_lsh.search(spark, df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_multiprobe_skips_most_rows_where_there_is_structure(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(800, 32)), 25, 0) + rng.normal(0, 0.1, (20_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = multiprobe_lsh.search(spark, df, F.col("vec_id") % 500 == 0, 10).collect()
+    found, visited = {}, {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        visited[r["query_id"]] = r["visited"]
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11].tolist()) for q in range(0, 20_000, 500)}
+    assert np.mean([len(near[q] & found[q]) / 10 for q in near]) >= 0.9 and np.mean(list(visited.values())) < 0.1 * len(x)
+
+
+def test_searches_of_repeated_and_null_ids(spark):
+    """Every query row is answered, every other row is a candidate, and rows of the query's own id are none."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.9, 0.0]), (3, [0.0, 0.9]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multiprobe_lsh.search(spark, df, F.col("vec_id") == 0, 10).collect()
+    assert sorted((r["query_id"], r["vec_id"], round(r["score"], 6)) for r in got) == sorted((0, i, round(math.dist(q, v), 6)) for _, q in rows[:2] for i, v in rows[2:5])
+    got = taat_topk.top_k(spark, df, F.col("vec_id") == 0, 10).collect()
+    cut = lambda v: [math.floor(64 * x) for x in v]
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == sorted((0, i, sum(a * b for a, b in zip(cut(q), cut(v)))) for _, q in rows[:2] for i, v in rows[2:5])
+
+
 def test_probe_order_follows_the_chance():
-    h = multiprobe_lsh.Hashing(1, 3, 1.0, 1.0, 0)
+    h = multiprobe_lsh.Hashing(1, 3, 1.0, 0.9, 1.0, 1.0, np.zeros(8), 0)
     at = np.array([0.1, 0.5, 5.97])
-    cells = multiprobe_lsh.probe_cells(at, h, 0.9)
+    cells = multiprobe_lsh.probe_cells(at, h)
     rng = np.random.default_rng(1)
     drawn = np.floor(at + rng.normal(size=(200_000, 3))).astype(int)
     share = [(drawn == c).all(1).mean() for c in cells]
@@ -181,10 +208,51 @@ def test_salvage(packed):
     broken = bytes(broken[:at]) + b"\x1f\x8b\x08 no member, WARC/1.1 no record " + bytes(broken[at:-5])
     records, gaps = warc_salvage.salvage(broken)
     kept = [warc_salvage.page_of(x.headers["warc-record-id"]) for x in records]
-    assert kept == [0, 1, 3, 4, 6] and all(x.payload == bodies[k] for x, k in zip(records, kept))
+    whole_kept = [0, 1, 3, 4, 6]
+    assert kept == whole_kept + [7] * packed and all(x.payload == bodies[k] for x, k in zip(records, kept))  # the last member lacks its checksum only
     assert [(a, b) for a, b, _ in gaps][0] == (starts[2], starts[3]) and gaps[-1][1] == len(broken)
     covered = sum(b - a for a, b, _ in gaps)
-    assert covered == len(broken) - sum(len(parts[k]) for k in kept)
+    assert covered == len(broken) - sum(len(parts[k]) for k in whole_kept)
     assert warc_salvage.salvage(b"") == ([], []) and warc_salvage.salvage(b"junk")[1][0][:2] == (0, 4)
     if packed:
         assert gzip.decompress(whole) == b"".join(raw)
+
+
+def test_salvage_of_hostile_headers():
+    """Numbers, ids and digests that cannot be read, and a payload that is not the stated one, are damage; the rest stands."""
+    good = warc_salvage.record(1, "http://x", b"body", None, "response")
+    swap = [(b"Content-Length: ", "Content-Length: ²".encode()), (b"Content-Length: ", b"Content-Length: -"), (b"sha1:", b"sha1:!"), (b"<urn:x-page:1>", b"<urn:x-page:--5>"), (b"<urn:x-page:1>", b"<urn:x-page:99999999999999999999>")]
+    for old, new in swap:
+        records, gaps = warc_salvage.salvage(good.replace(old, new, 1) + good)
+        assert records[-1].payload == b"body" and len(records) + len(gaps) == 2
+        assert all(warc_salvage.page_of(r.headers["warc-record-id"]) in (1, None) for r in records)
+    other = warc_salvage.record(2, "http://x", b"other", None, "response")
+    stated = next(x for x in other.split(b"\r\n") if x.startswith(b"WARC-Payload-Digest"))
+    mine = next(x for x in good.split(b"\r\n") if x.startswith(b"WARC-Payload-Digest"))
+    records, gaps = warc_salvage.salvage(good.replace(mine, stated) + other)
+    assert [warc_salvage.page_of(r.headers["warc-record-id"]) for r in records] == [2] and gaps[0][2] == "payload digest differs"
+    several = warc_salvage.member(good + b"WARC/1.1\r\nno header\r\n\r\n" + other)
+    records, gaps = warc_salvage.salvage(several)
+    assert [r.payload for r in records] == [b"body", b"other"] and len(gaps) == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=300), st.lists(st.tuples(st.integers(0, 2000), st.binary(max_size=6)), max_size=6), st.booleans())
+def test_salvage_takes_any_bytes(noise, changes, packed):
+    raw = [warc_salvage.record(i, "http://x", b"%d payload " % i * 9, None, "response") for i in range(3)]
+    data = bytearray(noise + b"".join(warc_salvage.member(x) if packed else x for x in raw))
+    for at, new in changes:
+        data[at : at + len(new)] = new
+    records, gaps = warc_salvage.salvage(bytes(data))
+    assert all(0 <= a < b <= len(data) for a, b, _ in gaps) and [g[0] for g in gaps] == sorted(g[0] for g in gaps)
+    assert len(records) == 3 or changes
+
+
+def test_archives_of_long_payloads_in_several_files(spark, tmp_path):
+    rows = [(i, "http://x", ("word%d " % i) * 40_000) for i in range(6)] + [(9, None, "same " * 50_000), (8, None, "same " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    where = f"file://{tmp_path}/a"
+    assert warc_salvage.write_archives(spark, df, where, file_bytes=2000) == 8
+    got = warc_salvage.read_archives(spark, where).collect()
+    assert {(r["page_id"], r["html"]) for r in got if r["record_type"] == "response"} == {(i, h) for i, _, h in rows if i != 8}
+    assert [(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"] == [(8, 9)] and len({r["file"] for r in got}) > 2
