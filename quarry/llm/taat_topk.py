@@ -1,12 +1,14 @@
 """Exact top-k by inner product: term-at-a-time accumulation over blocks.
 
 Vectors are cut to integers, ``floor(scale * x)``, and read as sparse rows: a term is a dimension, a posting
-the weight of a vector there.  Rows are packed in blocks, queries in blocks; each query block meets each
-candidate block once.  For a pair, the postings of one term after another, weighted by the queries that
+the weight of a vector there.  Rows are packed in blocks, queries in blocks.  Query blocks are broadcast in rounds of at most
+``ROUND`` bytes; in a round each candidate block meets each query block where it lies, and no candidate travels.  For a pair,
+the postings of one term after another, weighted by the queries that
 hold the term, are scattered into a dense array of scores (queries x rows of the block); a partition selects
-the k best of the block, and the blocks' selections are merged per query.
+the k best of the block, a task keeps the k best of its blocks, and the tasks' selections are merged per query.
 
-Scores are exact integers.  Vectors that are null or hold null or non-finite components take no part; a vector
+Scores are exact integers; a score that might not fit 64 bits raises.  Vectors that are null or hold null or non-finite components, and
+rows whose ``vec_id`` is null, take no part; a vector
 shorter than others has no postings beyond its end; repeated ids are rows of their own, and a query skips all
 rows of its own id and is answered as often as it occurs; an empty table gives no row.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.runtime import Workspace
 
 ROWS, QUERIES = 4096, 256
+ROUND = 32 << 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -69,6 +72,8 @@ def scatter_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Scores (queries x rows), one term after another."""
     terms = min(queries.shape[1], rows.shape[1])
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * terms
+    if bound >= 1 << 63:
+        raise OverflowError("scores may pass 64 bits")
     kind = np.int32 if bound < 1 << 31 else np.int64
     scores = np.zeros((len(queries), len(rows)), kind)
     columns, weights = np.ascontiguousarray(rows.T, kind), queries.astype(kind)
@@ -106,34 +111,63 @@ def best(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) ->
     return q, c, scores[q, c]
 
 
+def _best_of(held: tuple | None, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query among those held and new ones."""
+    if held is not None:
+        q, ids, scores = (np.concatenate(x) for x in zip(held, (q, ids, scores)))
+    order = np.lexsort((ids, -scores, q))
+    q = q[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return q[place < k], ids[order][place < k], scores[order][place < k]
+
+
+def _rounds(asked: DataFrame) -> list[tuple[int, int]]:
+    """(first, last) block of each round: two numbers for every ``QUERIES`` queries are what the driver sees."""
+    out, size = [], 0
+    for block, n in asked.select("block", F.octet_length("data")).orderBy("block").toLocalIterator():
+        if not out or size + n > ROUND:
+            out.append((block, block))
+            size = 0
+        out[-1] = (out[-1][0], block)
+        size += n
+    return out
+
+
+def _meet(spark: SparkSession, candidates: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """``asked, query_id, vec_id, score``: the k best of each query in each partition of the candidates."""
+    shared = spark.sparkContext.broadcast(queries)
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+        for b in batches:
+            for raw, data, width in zip(*(b.column(c).to_pylist() for c in ("ids", "data", "width"))):
+                got = np.frombuffer(raw, "<i8")
+                order = np.argsort(got, kind="stable")
+                ids, rows = got[order], np.frombuffer(data, "<i8").reshape(len(got), width)[order]
+                for block, q_ids, matrix in shared.value:
+                    q, c, score = best(scatter_scores(matrix, rows), q_ids, ids, k)
+                    held[block] = _best_of(held.get(block), q, ids[c], score.astype(np.int64), k)
+        for block, q_ids, _ in shared.value:
+            if block in held:
+                q, ids, score = held[block]
+                yield pa.RecordBatch.from_arrays([pa.array(block * QUERIES + q), pa.array(q_ids[q]), pa.array(ids), pa.array(score)], ["asked", "query_id", "vec_id", "score"])
+
+    return candidates.select("ids", "data", "width").mapInArrow(run, "asked long, query_id long, vec_id long, score long")
+
+
 def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest scores of each query against all rows but its own."""
     ws = Workspace(spark, "taat")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = ws.table(usable(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("w")), "integers")
     candidates = ws.table(pack_blocks(ids, "w", ROWS, "block"), "candidates")
     asked = ws.table(pack_blocks(ids.where(is_query), "w", QUERIES, "block"), "queries")
-    blocks = [r["block"] for r in candidates.select("block").collect()]  # eight bytes for every ROWS rows
-    if not blocks:
+    if asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # The stated query set meets all rows, block by block: each query block is sent to every candidate block.
-    sent = asked.select(F.explode(F.array(*map(F.lit, blocks))).alias("block"), F.lit(1).alias("kind"), F.col("block").alias("from"), "ids", "data", "width")
-    met = candidates.select("block", F.lit(0).alias("kind"), F.col("block").alias("from"), "ids", "data", "width").union(sent)
-
-    def run(batches):
-        r_ids = rows = None
-        for b in batches:
-            for i in range(b.num_rows):
-                kind, source, raw, data, width = (b.column(c)[i].as_py() for c in ("kind", "from", "ids", "data", "width"))
-                got = np.frombuffer(raw, "<i8")
-                matrix = np.frombuffer(data, "<i8").reshape(len(got), width)
-                if kind == 0:  # sorted first: the rows of the block that the next queries meet
-                    order = np.argsort(got, kind="stable")
-                    r_ids, rows = got[order], matrix[order]
-                    continue
-                q, c, s = best(scatter_scores(matrix, rows), got, r_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(source * QUERIES + q), pa.array(got[q]), pa.array(r_ids[c]), pa.array(s.astype(np.int64))], ["asked", "query_id", "vec_id", "score"])
-
-    found = met.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "asked long, query_id long, vec_id long, score long")
+    found = None
+    for part in _rounds(asked):
+        queries = [(r["block"], np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["data"], "<i8").reshape(-1, r["width"])) for r in asked.where(F.col("block").between(*part)).collect()]  # at most ROUND bytes
+        met = ws.table(_meet(spark, candidates, queries, k), "met")
+        found = met if found is None else found.unionByName(met)
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
