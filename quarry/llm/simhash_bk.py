@@ -8,7 +8,9 @@ fingerprint enters ``radius + 1`` shards, named by the value of one of as many b
 link must agree on a whole block, so each link is found inside a shard.  A shard is a BK-tree: children
 are keyed by their integer Hamming distance to the parent, and a search follows only the edges
 within the radius of the distance at hand.  Trees of all documents have no bound that
-would let them be broadcast, so the shards travel by shuffle, each to one task, in place of a broadcast.
+would let them be broadcast, nor may all fingerprints meet on the driver, so the shards travel by shuffle in place of a broadcast.
+A shard of more than ``SPLIT`` fingerprints is cut into trees of at most about as many: a fingerprint enters one of them and
+searches it and those after it.  What many rows share, a fingerprint of over ``HOT`` rows, is joined by broadcast, as there are few.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; repeated rows
 are returned as often as they come; a null ``doc_id`` never names a component that has another id.
@@ -23,9 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from quarry.llm.runtime import Workspace, connected_components
+from quarry.llm.runtime import Workspace, connected_components, small_enough
 
 _SLAB = 1 << 15
+SPLIT = 1 << 15
+HOT = 1 << 16
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -67,10 +71,10 @@ class BKTree:
         self.values: list[int] = []
         self.edges: list[dict[int, int]] = []
 
-    def near_then_add(self, value: int, radius: int) -> list[int]:
-        """The stored values within ``radius`` of ``value``, which is then stored."""
+    def near(self, value: int, radius: int) -> list[int]:
+        """The stored values within ``radius`` of ``value``."""
         found, values, edges = [], self.values, self.edges
-        stack, at, new = [0] if values else [], 0, len(values)
+        stack = [0] if values else []
         while stack:
             node = stack.pop()
             d = (values[node] ^ value).bit_count()
@@ -79,6 +83,11 @@ class BKTree:
             for edge, child in edges[node].items():
                 if -radius <= edge - d <= radius:
                     stack.append(child)
+        return found
+
+    def near_then_add(self, value: int, radius: int) -> list[int]:
+        """The stored values within ``radius`` of ``value``, which is then stored."""
+        found, values, edges, at, new = self.near(value, radius), self.values, self.edges, 0, len(self.values)
         values.append(value)
         edges.append({})
         while new:  # descend to the free edge
@@ -96,21 +105,27 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def links(ws: Workspace, distinct: DataFrame, radius: int = 2) -> DataFrame:
     """``a, b``: the pairs of distinct fingerprints (column ``fp``) that differ in at most ``radius`` bits."""
     parts = blocks(radius)
     keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for i, (lo, bits) in enumerate(parts)))
     shards = distinct.select("fp", F.explode(keys).alias("k")).select("k.block", "k.value", "fp")
+    large = shards.groupBy("block", "value").count().where(F.col("count") > SPLIT).select("block", "value", F.ceil(F.col("count") / SPLIT).cast("int").alias("trees"))
+    large = ws.table(large, "large")  # at most (radius + 1) / SPLIT of the fingerprints
+    shards = shards.join(F.broadcast(large) if small_enough(ws.spark, large.count(), 24) else large, ["block", "value"], "left")
+    own = F.pmod(F.xxhash64("fp"), F.coalesce("trees", F.lit(1)).cast("long")).cast("int")
+    visits = F.transform(F.sequence(own, F.coalesce(F.col("trees") - 1, F.lit(0))), lambda t: F.struct(t.alias("tree"), (t != own).cast("int").alias("visit")))
+    shards = shards.select("block", "value", "fp", F.explode(visits).alias("t")).select("block", "value", "t.tree", "t.visit", "fp")
 
     def search(batches):
         key, tree = None, BKTree()
         for b in batches:
             a, c = [], []
-            for block, value, fp in zip(*(b.column(n).to_pylist() for n in ("block", "value", "fp"))):
-                if (block, value) != key:
-                    key, tree = (block, value), BKTree()
+            for block, value, part, visit, fp in zip(*(b.column(n).to_numpy().tolist() for n in ("block", "value", "tree", "visit", "fp"))):
+                if (block, value, part) != key:
+                    key, tree = (block, value, part), BKTree()
                 u = fp & 0xFFFFFFFFFFFFFFFF
-                for v in tree.near_then_add(u, radius):
+                for v in tree.near(u, radius) if visit else tree.near_then_add(u, radius):
                     # a pair that agrees on an earlier block too is reported there
                     if all((u ^ v) >> lo & ((1 << bits) - 1) for lo, bits in parts[:block]):
                         a.append(fp)
@@ -118,15 +133,15 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "block", "value").sortWithinPartitions("block", "value", "fp").mapInArrow(search, "a long, b long")
+    return shards.repartition(n, "block", "value", "tree").sortWithinPartitions("block", "value", "tree", "visit", "fp").mapInArrow(search, "a long, b long")
 
 
 def _linked(ws: Workspace, rows: DataFrame, order: Column, radius: int) -> DataFrame:
     """``fp, first, component`` of every fingerprint: the least ``order`` among its rows, and what links join."""
-    nodes = ws.table(rows.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
-    roots = connected_components(ws, ws.table(links(nodes.select("fp"), radius), "links"))
+    nodes = ws.table(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("rows")), "nodes")
+    roots = connected_components(ws, ws.table(links(ws, nodes.select("fp"), radius), "links"))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    return ws.table(named.select("fp", "first", "component"), "named")
+    return ws.table(named.select("fp", "first", "component", "rows"), "named")
 
 
 def components(spark: SparkSession, documents: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -135,8 +150,13 @@ def components(spark: SparkSession, documents: DataFrame, radius: int = 2, width
     fps = ws.table(fingerprints(documents, width).drop("mark"), "fingerprints")
     named = _linked(ws, fps, F.col("doc_id"), radius)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = ws.table(named.join(smallest, "component").select("fp", "component_id"), "by_fp")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = ws.table(named.join(smallest, "component").select("fp", "component_id", "rows"), "by_fp")
+    hot = by_fp.where(F.col("rows") > HOT).select(F.col("fp").alias("hot"), F.col("component_id").alias("its"))  # at most one for every HOT rows
+    hot = F.broadcast(hot) if small_enough(spark, hot.count(), 16) else hot
+    marked = fps.join(hot, F.col("fp") == F.col("hot"), "left")
+    cold = marked.where("hot is null").select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    every = cold.unionByName(marked.where("hot is not null").select("doc_id", "fp", F.col("its").alias("component_id")))
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _mark(documents: DataFrame) -> Column:

@@ -74,6 +74,26 @@ def test_keep_first_of_null_and_shared_ids(spark):
 
 
 
+def test_large_shards_and_common_fingerprints(spark, monkeypatch):
+    """Shards cut into several trees lose no link, and fingerprints of many rows are joined apart."""
+    monkeypatch.setattr(simhash_bk, "SPLIT", 8)
+    r = np.random.default_rng(5)
+    base = [int(x) for x in r.integers(0, 1 << 62, 3)]
+    fps = sorted({b ^ sum(1 << int(i) for i in r.choice(64, int(r.integers(0, 5)), replace=False)) for b in base for _ in range(120)})
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in fps]
+    got = simhash_bk.links(Workspace(spark, "t"), spark.createDataFrame(signed, "fp long"), 2).collect()
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    pairs = [tuple(sorted((x["a"] & (1 << 64) - 1, x["b"] & (1 << 64) - 1))) for x in got]
+    assert set(pairs) == want and len(pairs) == len(want)
+    monkeypatch.setattr(simhash_bk, "HOT", 2)
+    rows = [(i, ("a b c", "d e f", f"some other words {i}")[min(i % 4, 2)]) for i in range(24)]
+    out = simhash_bk.components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    assert sorted((x["doc_id"], x["component_id"]) for x in out) == sorted((i, first[t]) for i, t in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, (1 << 64) - 1), unique=True, max_size=30), st.integers(0, 6))
 def test_bk_tree_finds_all_within_the_radius(values, radius):
