@@ -32,6 +32,7 @@ from quarry.llm.runtime import Workspace, connected_components, small_enough
 
 SPLIT = 2048
 _DEPTH = 4
+_SALTS = 16
 
 
 def allowed(length: int, edits: int) -> int:
@@ -336,8 +337,13 @@ def dropped(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int
     firsts = ws.table(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     classes = connected_components(ws, links(spark, ws, documents, edits)).select(F.col("node").alias("id"), "component")
     named = ws.table(firsts.join(classes, "id", "left").where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("class"), "first"), "named")
-    keepers = named.groupBy("class").agg(F.min("first").alias("keep"))
-    keepers = ws.table(named.join(keepers, "class").select(F.col("id").alias("line"), F.col("keep.row").alias("keep_row"), F.col("keep.pos").alias("keep_pos")), "keepers")
+    keep = ws.table(named.groupBy("class").agg(F.min("first").alias("keep")), "keep")
+    if small_enough(spark, keep.count(), 40):
+        kept = named.join(F.broadcast(keep), "class")
+    else:  # a class may hold any share of the lines: its members are dealt with salts
+        salted = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        kept = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(salted, ["class", "salt"])
+    keepers = ws.table(kept.select(F.col("id").alias("line"), F.col("keep.row").alias("keep_row"), F.col("keep.pos").alias("keep_pos")), "keepers")
     gone = lines.join(keepers, F.col("id") == F.col("line")).where("row <> keep_row or pos <> keep_pos").select("row", "pos").distinct()
     return ws.table(gone.groupBy("row").agg(F.collect_set("pos").alias("__gone")).select(F.col("row").alias("__gone_row"), "__gone"), "gone")
 
