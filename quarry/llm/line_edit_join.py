@@ -12,8 +12,11 @@ occurrences go.  Blank lines are no lines here and stay.
 
 Scale.  Equal lines are one node.  Index and probe rows carry two numbers; texts are fetched only for lines
 that share a key with another line.  Within a key, a line is compared only with classes it is not in yet,
-so a key yields fewer links than lines; a key with more than ``SPLIT`` lines is split by the
-segments of what remains of its lines beside the shared one, again and again while that helps.
+so a key yields fewer links than lines.  A key of more than ``SPLIT`` lines is cut into pieces, by two hashes, whose
+lines are joined first; where that leaves one class, as among numbered lines, it is done.  Else, if few lines lie outside the
+largest class, these meet every piece; if many do, the key is split by the
+segments of what remains of its lines beside the shared one, and so on; what is left at the last depth meets block by block.
+No task ever compares more than about ``SPLIT`` lines with as many.
 
 Defined results: a null text stays null and has no lines; a document without a kept line has an empty text; rows
 that share id and text keep the same lines; a null ``doc_id`` comes last; an empty table stays empty.
@@ -267,25 +270,91 @@ def links(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int)
     every = documents.select("text").mapInArrow(lines, "line long, words string")
     texts = every.join(F.broadcast(wanted) if few else wanted, F.col("line") == F.col("want"), "left_semi")
     texts = ws.table(texts.groupBy("line").agg(F.first("words").alias("words")), "texts")
-    members = shared.select("key", F.expr("shiftleft(shiftright(id, 1), 1)").alias("line"), F.col("id").bitwiseAND(F.lit(1)).cast("int").alias("kind"), F.lit(0).alias("depth")).distinct()
+    members = shared.select("key", F.expr("shiftleft(shiftright(id, 1), 1)").alias("line"), F.col("id").bitwiseAND(F.lit(1)).cast("int").alias("kind")).distinct()
     members = ws.table(members.join(texts, "line").select("key", "kind", "line", "words", F.lit(None).cast("string").alias("rest")), "members")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = []
+    out: list[DataFrame] = []
+
+    def verify(rows: DataFrame, check, *order: str) -> None:
+        out.append(ws.table(rows.repartition(n, "key").sortWithinPartitions("key", *order).mapInArrow(check, "a long, b long"), "links"))
+
     for depth in range(_DEPTH):
         counts = members.groupBy("key").agg(F.count("*").alias("n"))
-        hot = ws.table(counts.where(F.col("n") > SPLIT).select(F.col("key").alias("hot")), "hot")
-        last = depth == _DEPTH - 1 or hot.isEmpty()
-        calm = members if last else members.join(hot, F.col("key") == F.col("hot"), "left_anti")
-        out.append(ws.table(calm.repartition(n, "key").sortWithinPartitions("key", "line").mapInArrow(_verify(edits), "a long, b long"), "links"))
-        if last:
+        hot = ws.table(counts.where(F.col("n") > SPLIT).select(F.col("key").alias("hot"), F.ceil(F.col("n") / SPLIT).alias("pieces")), "hot")
+        if hot.isEmpty():
+            verify(members.select("key", "line", "words"), _verify(edits), "line")
+            break
+        verify(members.join(hot, F.col("key") == F.col("hot"), "left_anti").select("key", "line", "words"), _verify(edits), "line")
+        many = ws.table(members.drop("comp").join(hot, F.col("key") == F.col("hot")).drop("hot"), "many")
+        for turn in range(2):
+            piece = F.pmod(F.xxhash64("line", F.lit(turn)), F.col("pieces"))
+            verify(many.select(F.xxhash64("key", piece, F.lit(turn)).alias("key"), "line", "words"), _verify(edits), "line")
+        roots = connected_components(ws, _union(out))
+        tagged = many.join(roots, F.col("line") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "line")).drop("node", "component")
+        tagged = ws.table(tagged, "tagged")
+        sizes = tagged.select("key", "line", "comp").distinct().groupBy("key", "comp").agg(F.count("*").alias("c"))
+        mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+        mixed = ws.table(mixed.where("others > 0").withColumnRenamed("key", "open"), "mixed")
+        if mixed.isEmpty():
+            break
+        meets = F.lit(depth == _DEPTH - 1) | (F.col("others") <= SPLIT)
+        meeting = tagged.join(mixed.where(meets), F.col("key") == F.col("open"))
+        blocks = F.ceil(F.col("others") / SPLIT)
+        own = meeting.select("key", F.pmod(F.xxhash64("line"), F.col("pieces")).alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(0).alias("star"), "line", "words", "comp")
+        stars = meeting.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("line", F.lit(7)), blocks).alias("block"), F.lit(1).alias("star"), "line", "words", "comp")
+        verify(own.unionByName(stars).select(F.xxhash64("key", "piece", "block").alias("key"), "star", "line", "words", "comp"), _across(edits), "star", "line")
+        finer = tagged.join(mixed.where(~meets), F.col("key") == F.col("open"), "left_semi").select("key", "kind", "line", "words", "rest", "comp")
+        finer = ws.table(finer.mapInArrow(_refine(edits), "key long, kind int, line long, words string, rest string, comp long"), "finer")
+        apart = finer.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("open"))
+        members = ws.table(finer.join(apart, F.col("key") == F.col("open"), "left_semi"), "members")
+        ws.drop(many, tagged, finer)
+        if members.isEmpty():
             break
-        members = ws.table(members.join(hot, F.col("key") == F.col("hot"), "left_semi").mapInArrow(_refine(edits), "key long, kind int, line long, words string, rest string"), "finer")
-    found = out[0]
-    for o in out[1:]:
-        found = found.union(o)
+    return _union(out)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
     return found
 
 
+def link_across(own: list[tuple[int, str, int]], stars: list[tuple[int, str, int]], edits: int) -> list[tuple[int, int]]:
+    """Links that join the near lines between two lists of (line, words, class), none within a class."""
+    links: list[tuple[int, int]] = []
+    if not own or not stars:
+        return links
+    sizes, profile = np.array([len(t) for _, t, _ in own]), _profile([t for _, t, _ in own])
+    group = np.array([c for *_, c in own + stars])
+    theirs = _profile([t for _, t, _ in stars])
+    for j, (line, text, _) in enumerate(stars, len(own)):
+        at = np.flatnonzero((np.abs(sizes - len(text)) <= edits) & (group[: len(own)] != group[j]))
+        at = at[np.abs(profile[at] - theirs[j - len(own)]).sum(1) <= 2 * edits]
+        for i in at.tolist():
+            if group[i] != group[j] and near(text, own[i][1], edits):
+                links.append((line, own[i][0]))
+                group[group == group[i]] = group[j]
+    return links
+
+
+def _across(edits: int):
+    def run(batches):
+        key, sides = None, ([], [])
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for k, star, line, words, comp in zip(*(b.column(c).to_pylist() for c in ("key", "star", "line", "words", "comp"))):
+                if k != key:
+                    found += link_across(*sides, edits)
+                    key, sides = k, ([], [])
+                if not sides[star] or sides[star][-1][0] != line:
+                    sides[star].append((line, words, comp))
+            yield _links(found)
+        yield _links(link_across(*sides, edits))
+
+    return run
+
+
 def _verify(edits: int):
     def run(batches):
         key, ids, texts = None, [], []
@@ -317,15 +386,15 @@ def _refine(edits: int):
         return [words[:at] + words[at + size :] for k, kd, at, size in keys_of(words, edits) if k == key and kd == kind]
 
     def run(batches):
-        names = ("key", "kind", "line", "words", "rest")
+        names = ("key", "kind", "line", "words", "rest", "comp")
         for b in batches:
             rows = []
-            for key, kind, line, words, rest in zip(*(b.column(c).to_pylist() for c in names)):
+            for key, kind, line, words, rest, comp in zip(*(b.column(c).to_pylist() for c in names)):
                 whole = key & 0xFFFFFFFFFFFFFFFF
                 for r in rests(whole, kind, words, rest):
-                    rows += [(_signed(finer), 0, line, words, r[:at] + r[at + size :]) for finer, at, size in rest_keys(r, edits, whole)]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], list(names))
+                    rows += [(_signed(finer), 0, line, words, r[:at] + r[at + size :], comp) for finer, at, size in rest_keys(r, edits, whole)]
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()))], list(names))
 
     return run
 

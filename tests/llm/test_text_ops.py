@@ -173,6 +173,26 @@ def test_line_dedup_splits_hot_keys(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(brute_lines(rows))
 
 
+def test_line_dedup_of_numbered_lines(spark, monkeypatch):
+    """Near lines that all share their keys, and strangers among them: no link is lost and no key grows from round to round."""
+    monkeypatch.setattr(line_edit_join, "SPLIT", 16)
+    rows = [(i, f"This is page {i:03d}") for i in range(0, 300, 2)] + [(400 + i, f"This is page {'abcdefghijklm'[i]}{'nopqrstuvwxyz'[i]}{i % 7}{'zyxwvu'[i % 6]}") for i in range(13)]
+    rows += [(500, "Page 1"), (501, "Page 22"), (502, "Page 333"), (503, "This is quite another page")]
+    sizes = []
+    table = Workspace.table
+
+    def watched(self, df, name):
+        out = table(self, df, name)
+        if name in ("members", "finer"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "table", watched)
+    out = line_edit_join.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(brute_lines(rows))
+    assert max(sizes) <= 2 * sizes[0]
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
