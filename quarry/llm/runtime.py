@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: bounds what a Python worker holds when texts are long.
 ARROW_ROWS = 1024
+#: Rows of one node of a graph beyond which it is no matter of a single task.
+HUB = 1 << 16
 
 _LOCAL_DIR: list[str] = []
 
@@ -113,14 +115,24 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     def largest_first(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
-    def large(e: DataFrame) -> DataFrame:
+    def with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+        """``rows`` of ``a, b`` with their ``m``; hubs, of more than ``HUB`` rows, meet it by broadcast and not in one task."""
+        if n <= HUB or not small_enough(ws.spark, -(-n // HUB), 16):
+            return rows.join(low.drop("rows"), "a")
+        hubs = F.broadcast(low.where(F.col("rows") > HUB).select(F.col("a").alias("h"), F.col("m").alias("hm")))  # at most n / HUB rows
+        met = rows.join(hubs, F.col("a") == F.col("h"), "left")
+        plain = met.where("h is null").select("a", "b").join(low.where(F.col("rows") <= HUB).drop("rows"), "a")
+        return plain.union(met.where("h is not null").select("a", "b", F.col("hm").alias("m")))
+
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return largest_first(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows")).select("a", F.least("a", "m").alias("m"), "rows")
+        return largest_first(with_low(both, low, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
-    def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def small(e: DataFrame, n: int) -> DataFrame:
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+        moved = with_low(e, low, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = low.drop("rows")
         return largest_first(moved.union(low.select("a", F.col("m").alias("b"))))
 
     def mark(e: DataFrame):
@@ -130,7 +142,7 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     e = ws.table(largest_first(edges), "edges")
     seen = mark(e)
     while seen[0]:
-        after = ws.table(small(large(e)), "stars")
+        after = ws.table(small(large(e, seen[0]), seen[0]), "stars")
         now = mark(after)
         ws.drop(e)
         e = after

@@ -72,6 +72,22 @@ def test_quality_held_out(spark, documents, nothing):
     assert pu_quality.score(spark, nothing, model).count() == 0
 
 
+def test_trained_models_on_null_empty_and_long_texts(spark):
+    """The trained network and the trained kernel machine score every row alike, whatever stands around it."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(None, None), (1, None), (2, ""), (3, "   \n\t "), (4, "x" * 200_000), (5, "word " * 60_000), (5, "word " * 60_000), (6, "\ud83d\ude00 \u0000 é"), (None, "a null id")]
+    rows = spark.createDataFrame([(i, t, 0.5, "clash") for i, t in odd], "doc_id long, text string, score double, fp string")
+    quality = pu_quality.score(spark, rows, pu_quality.fit(spark, docs, labels, F.lit(True)))
+    toxic = subsequence_svm.fit(spark, docs, labels, F.lit(True))
+    assert toxic.table is not None
+    scored = subsequence_svm.score(spark, rows, toxic)
+    for out in (quality, scored):
+        got = [(r["doc_id"], r["score"]) for r in out.collect()]
+        assert len(got) == len(odd) and all(0 <= s <= 1 for _, s in got)
+        assert len({s for i, s in got if i == 5}) == 1 and len({s for i, s in got if i in (1, 2)}) == 1
+    assert subsequence_svm.keep_clean(spark, rows, toxic).count() == scored.where("score < 0.7").count()
+
+
 def test_positive_unlabelled_risk():
     """Two clouds: the prior is found, and the risk separates them without a negative label."""
     rng = np.random.default_rng(0)

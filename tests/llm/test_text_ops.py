@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm import bound_packing, huffman_ids, line_edit_join, simhash_bk, source_mixing
+from quarry.llm import bound_packing, huffman_ids, line_edit_join, runtime, simhash_bk, source_mixing
 from quarry.llm.runtime import Workspace, connected_components
 from quarry.llm.token_ids import Encoder, tokenizer_file
 
@@ -104,7 +104,9 @@ def test_bk_tree_finds_all_within_the_radius(values, radius):
         seen.append(v)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1 << 16, 8])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(runtime, "HUB", hub)
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)] + [(200, 200 + i) for i in range(1, 60)]
     got = connected_components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long"))
     want = classes({x for e in edges for x in e}, edges)
