@@ -10,29 +10,41 @@ from quarry.llm.runtime import Workspace
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go; all others stay as they are."""
+    """Documents that the classifier calls toxic go; all others stay as they are.
+
+    A null or empty text, and a null id, are clean; repeated rows go or stay together; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return subsequence_svm.keep_clean(spark, docs, subsequence_svm.fit(spark, documents, labels, fold(3) != 1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: that of the smallest id."""
+    """One document of each group of SimHash near-duplicates stays: that of the smallest id, a null one last.
+
+    Texts without a word are one group; different texts under one id, or under none, are told apart; of equal rows one stays.
+    """
     return simhash_bk.keep_first(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, but for two edits, go from the texts; every document stays."""
+    """Lines that repeat an earlier one, but for two edits, go from the texts; every document stays.
+
+    A null text stays null; a text without a line left is empty; ``n_chars`` follows the text.
+    """
     return line_edit_join.dedup(spark, docs).drop("__lines", "__kept")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those it does not take go."""
+    """Each document as often as the mix takes it; those it does not take go.
+
+    A null source is a source, the last; a null text has no words; an empty table stays empty.
+    """
     return source_mixing.repeat_documents(spark, docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece: where it lies in which sequence.
+    """A row per piece: where it lies in which sequence; a null or empty text is the end id alone.
 
     Workers go on to other stages, so they remember fewer stretches than where packing is all they do.
     """
@@ -51,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Learned scores and tokenization are not SQL: the pipeline is tested against a brute-force version.
+#: Learned scores and tokenization are not SQL: the stages after the classifier are tested against brute-force versions, one
+#: after another, and the classifier on held-out rows.
 ORACLE_SQL = None
