@@ -175,6 +175,15 @@ def test_line_dedup_splits_hot_keys(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(brute_lines(rows))
 
 
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    """Beyond the size at which tables are broadcast: the same rows."""
+    monkeypatch.setattr(line_edit_join, "small_enough", lambda *a, **k: False)
+    lines = ["the first line of all", "the first line of al", "a second line, here", "quite another line", "a second line, there", "last of them all"]
+    rows = [(i, "\n".join(lines[j % 6] for j in range(i, i + 4))) for i in range(12)]
+    out = line_edit_join.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(brute_lines(rows))
+
+
 def test_line_dedup_of_numbered_lines(spark, monkeypatch):
     """Near lines that all share their keys, and strangers among them: no link is lost and no key grows from round to round."""
     monkeypatch.setattr(line_edit_join, "SPLIT", 16)
