@@ -144,7 +144,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, p: Params) -> f
 
 
 def _sample(spark: SparkSession, documents: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with the given ids, a bounded number."""
+    """Features of the documents with the given ids, a bounded number: of the texts of one id the least."""
     chosen = spark.createDataFrame(ids.collect(), "doc_id long")
 
     def measure(batches):
@@ -152,7 +152,8 @@ def _sample(spark: SparkSession, documents: DataFrame, ids: DataFrame) -> np.nda
             x = features(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text").mapInArrow(measure, "x binary").collect()
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = texts.orderBy("doc_id").select("text").mapInArrow(measure, "x binary").collect()
     return np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, N_FEATURES).astype(float)
 
 
