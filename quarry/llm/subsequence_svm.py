@@ -7,14 +7,18 @@ Each word is scaled by the norm its length would have without repeated subsequen
 kernel positive definite, since it scales by a function of one word only.
 
 A sentence is a bag of windows (its words, and runs of single characters read as one word); its
-decision is the largest of its windows.  Training takes labelled documents, whose sentences bear
-the label: windows that toxic sentences hold significantly more often are the positive examples,
-windows of clean sentences the negative ones.  The landmark expansion of the linear SVM is folded
-into one weight per subsequence, so scoring a word costs one table look-up per subsequence.
+decision is the largest of its windows.  The machine is trained on the sentences of labelled
+documents, by multiple instances: a sentence enters by its witness, the window of the largest
+decision.  All sentences of a clean document are clean; of a toxic document those are toxic that
+the machine takes for toxic, at least the one of the largest decision.  Witnesses and machine take turns for
+``rounds`` rounds, from a first machine on windows that toxic sentences hold significantly more often.  The
+landmark expansion of the linear SVM is folded into one weight per subsequence, so scoring a word
+costs one table look-up per subsequence.
 
 Defined results: a null or empty text scores as a text without any window; an unlabelled or
 one-class training set gives every document the share of label 1 (0 without rows); repeated rows are
-scored alike; a null ``doc_id`` is never trained on and not held out.
+scored alike; a null ``doc_id`` is never trained on and not held out; of the texts of one id the
+least is trained on.
 """
 
 from __future__ import annotations
@@ -35,19 +39,24 @@ from quarry.llm.runtime import ARROW_ROWS, Workspace
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _WIDTH = 20
+#: Files of the labelled documents; their number is bounded, so this is too.
+_PARTS = 64
 
 
 @dataclass(frozen=True)
 class Params:
     """``max_docs`` bounds the labelled documents of each class that are trained on, ``max_words``
-    the windows of each class, ``landmarks`` the Nystroem basis."""
+    the distinct windows of each class, ``landmarks`` the Nystroem basis.  A toxic document whose best
+    witness is decided below ``floor``, or is not ``odds`` times as common in toxic documents, is no evidence of its label."""
 
     decay: float = 0.5
     max_span: int = 6
     landmarks: int = 512
     max_docs: int = 6000
     max_words: int = 12000
-    rounds: int = 3
+    rounds: int = 2
+    floor: float = -0.5
+    odds: float = 8.0
     cost: float = 2.0
     evidence: float = 20.0
     seed: int = 7
@@ -85,6 +94,16 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + _WIDTH] for i in range(0, len(word) - _WIDTH // 2, _WIDTH // 2)]
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The distinct windows of each sentence that has any."""
+    bags = []
+    for s in _SENTENCE.split(text.lower()):
+        tokens = {*s.split(), *("".join(x.split()) for x in _SPACED.findall(s))}
+        if bag := sorted({x for w in map(window, tokens) if w for x in pieces(w)}):
+            bags.append(bag)
+    return bags
+
+
 @lru_cache(maxsize=None)
 def _triples(n: int, decay: float, span: int):
     """(i, j, k, weight) of the subsequences of a word of n characters, and its norm."""
@@ -273,6 +292,32 @@ def hardest(spark: SparkSession, words: DataFrame, model: Model) -> DataFrame:
     return words.mapInArrow(run, "word string, d double").orderBy(F.desc("d"), "word")
 
 
+def witnesses(spark: SparkSession, docs: DataFrame, model: Model, keep: int = 300_000) -> DataFrame:
+    """``word, y, n, d``: the windows that stand for the sentences of labelled documents, the number of
+    documents (``y`` 1) or sentences (``y`` 0) they stand for, and their decision."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        m, known = shared.value, {}
+        for b in batches:
+            words, ys, ds = [], [], []
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+                bags = sentences(text)
+                if len(known) > keep:
+                    known.clear()
+                new = list({w for bag in bags for w in bag if w not in known})
+                known.update(zip(new, (decide_words(m.table, new, m.params).astype(float) + m.bias).tolist()))
+                best = [max(bag, key=lambda w: (known[w], w)) for bag in bags]
+                if y and best:
+                    best = list({w for w in best if known[w] > 0} or {max(best, key=lambda w: (known[w], w))})
+                words += best
+                ys += [y] * len(best)
+                ds += [known[w] for w in best]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ys, pa.int32()), pa.array(ds, pa.float64())], ["word", "y", "d"])
+
+    return docs.select("text", "y").mapInArrow(run, "word string, y int, d double").groupBy("word", "y").agg(F.count("*").alias("n"), F.max("d").alias("d"))
+
+
 def explaining(docs: DataFrame, candidates: dict[str, int]) -> list[tuple[str, int]]:
     """The candidate windows that explain toxic documents, with the documents they were seen in.
 
@@ -320,15 +365,16 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, trainable,
     if not all(n):
         return model
     chosen = spark.createDataFrame(ids, "doc_id long, y int")
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    ws = Workspace(spark, "toxicity")
+    found = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # one text an id, so that at most 2 * max_docs rows are left; the passes below read these alone
+    docs = ws.table(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).repartition(_PARTS, "doc_id"), "labelled")
 
     def windows(batches):
         for b in batches:
             words, ys = [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                low = text.lower()
-                seen = {w for s in _SENTENCE.split(low) for w in map(window, [*s.split(), *("".join(x.split()) for x in _SPACED.findall(s))])}
-                seen = {x for w in seen if w for x in pieces(w)}
+                seen = set().union(*sentences(text))
                 words += seen
                 ys += [y] * len(seen)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ys, pa.int32())], ["word", "y"])
@@ -339,7 +385,6 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, trainable,
     # How unlikely so one-sided a word is, were it as common in both classes.  Copies of a document are
     # no independent witnesses, hence the wide margin; few toxic documents can give but little evidence.
     evidence = F.col("pos") * float(np.log(1 / share)) + F.col("neg") * float(np.log(1 / (1 - share)))
-    ws = Workspace(spark, "toxicity")
     counts = ws.table(counts.withColumn("odds", odds).withColumn("evidence", evidence), "windows")
     toxic = counts.where((F.col("neg") * n[1] * 200 <= F.col("pos") * n[0]) & (F.col("evidence") > min(p.evidence, 0.2 * n[1] * float(np.log(1 / share))))).orderBy(F.desc("evidence"), "word").limit(p.max_words)
     clean = counts.where((F.col("odds") < 2.0) & (F.col("neg") > 0))
@@ -350,14 +395,24 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, trainable,
     if positive and negative:
         words, seen_in = [w for w, _ in positive], np.array([k for _, k in positive], float)
         model.table, model.bias = train_words(words, seen_in, negative, [], p)
-        for turn in range(p.rounds):  # the clean windows that come closest to toxic ones join the negatives
-            close = [r["word"] for r in hardest(spark, clean.select("word"), model).limit(p.max_words // 3).collect() if r["d"] > -0.9]
-            if set(close) <= set(negative) and turn:
+        # the clean windows that come closest to toxic ones join the negatives
+        close = [r["word"] for r in hardest(spark, clean.select("word"), model).limit(p.max_words // 3).collect() if r["d"] > -0.9]
+        negative = list(dict.fromkeys(negative + close))
+        model.table, model.bias = train_words(words, seen_in, negative, close, p)
+        one_sided = counts.where(F.col("neg") * n[1] * p.odds <= F.col("pos") * n[0]).select("word")
+        for _ in range(p.rounds):
+            stand = ws.table(witnesses(spark, docs, model), "witnesses")
+            high = stand.where((F.col("y") == 1) & (F.col("d") > p.floor)).join(one_sided, "word", "left_semi").orderBy(F.desc("n"), "word").limit(p.max_words).collect()
+            low = stand.where("y = 0").orderBy(F.desc("d"), "word").limit(p.max_words // 3).select("word").collect()
+            if not high:
                 break
-            negative = list(dict.fromkeys(negative + close))
+            words, seen_in = [r["word"] for r in high], np.array([r["n"] for r in high], float)
+            chosen_words = set(words)
+            close = [w for w in (r["word"] for r in low) if w not in chosen_words]
+            negative = [w for w in dict.fromkeys(negative + close) if w not in chosen_words]
             model.table, model.bias = train_words(words, seen_in, negative, close, p)
-    ws.drop(ws.root)
     if model.table is None:
+        ws.drop(ws.root)
         return model
 
     shared = spark.sparkContext.broadcast(model)  # one table of 64**3 floats
@@ -369,6 +424,7 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, trainable,
             yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(x[:, i]) for i in range(4))], ["y", "a", "b", "c", "d"])
 
     rows = np.array(docs.mapInArrow(measure, "y int, a double, b double, c double, d double").collect(), float).reshape(-1, 5)
+    ws.drop(ws.root)
     model.link = logistic(np.c_[rows[:, 1:], np.ones(len(rows))], rows[:, 0])
     return model
 

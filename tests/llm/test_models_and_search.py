@@ -46,6 +46,29 @@ def test_gapped_and_spaced_insults():
     assert high.min() > low.max()
 
 
+def test_witnesses_of_sentences(spark):
+    """Every clean sentence, and the sentences of a toxic document that look toxic, enter by their largest window."""
+    p = subsequence_svm.Params()
+    clean = [f"^{a}{b}$" for a in ("the", "and", "ran", "sto", "pid") for b in ("ing", "er", "lo", "mi", "ton")]
+    table, bias = subsequence_svm.train_words(["^stupid$", "^moron$"], np.array([5.0, 5.0]), clean, [], p)
+    texts = [("Anding thelo. You m o r o n here!\nRaning stupid, s-t-u-p-i-d pider. Anding.", 1), ("thelo ander. Raning", 1), ("Thelo raner. Pidmi? andlo", 0), ("Thelo raner.", 0), ("", 0), (" . ", 1)]
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, y int")
+    model = subsequence_svm.Model(p, 0.5, table, bias)
+    decide = lambda w: float(subsequence_svm.decide_words(table, [w], p)[0] + np.float32(bias))
+    want = {}
+    for text, y in texts:
+        best = [max(bag, key=lambda w: (decide(w), w)) for bag in subsequence_svm.sentences(text)]
+        if y and best:
+            best = {w for w in best if decide(w) > 0} or {max(best, key=lambda w: (decide(w), w))}
+        for w in best:
+            want[w, y] = want.get((w, y), 0) + 1
+    for keep in (0, 1000):
+        got = subsequence_svm.witnesses(spark, rows, model, keep).collect()
+        assert {(r["word"], r["y"]): r["n"] for r in got} == want
+        assert all(abs(r["d"] - decide(r["word"])) < 1e-5 for r in got)
+    assert ("^moron$", 1) in want and ("^stupid$", 1) in want
+
+
 def test_toxicity_held_out(spark, documents, nothing):
     out = queries.op1_toxicity(spark, SF)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
@@ -88,6 +111,20 @@ def test_trained_models_on_null_empty_and_long_texts(spark):
     assert subsequence_svm.keep_clean(spark, rows, toxic).count() == scored.where("score < 0.7").count()
 
 
+def test_models_learn_one_text_of_an_id(spark):
+    """Ids that repeat, with the same text or a larger one, change nothing."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").where("text is not null")
+    twice = docs.union(docs).union(docs.withColumn("text", F.concat("text", F.lit(" zzz"))))
+    probe = docs.where("doc_id < 50")
+    once_q, more_q = (pu_quality.fit(spark, d, labels, F.lit(True), pu_quality.Params(epochs=1)) for d in (docs, twice))
+    assert np.allclose(once_q.mean, more_q.mean) and once_q.prior == more_q.prior
+    small = subsequence_svm.Params(landmarks=64, max_words=600, rounds=1)
+    once, more = (subsequence_svm.fit(spark, d, labels, F.lit(True), p=small) for d in (docs, twice))
+    a, b = ({r["doc_id"]: r["score"] for r in subsequence_svm.score(spark, probe, m).collect()} for m in (once, more))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-4
+
+
 def test_positive_unlabelled_risk():
     """Two clouds: the prior is found, and the risk separates them without a negative label."""
     rng = np.random.default_rng(0)
