@@ -301,18 +301,20 @@ def witnesses(spark: SparkSession, docs: DataFrame, model: Model, keep: int = 30
         m, known = shared.value, {}
         for b in batches:
             words, ys, ds = [], [], []
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                bags = sentences(text)
+            texts, labels = b.column("text").to_pylist(), b.column("y").to_pylist()
+            for lo in range(0, len(texts), 128):
+                slab = [sentences(t) for t in texts[lo : lo + 128]]
                 if len(known) > keep:
                     known.clear()
-                new = list({w for bag in bags for w in bag if w not in known})
+                new = list({w for bags in slab for bag in bags for w in bag if w not in known})
                 known.update(zip(new, (decide_words(m.table, new, m.params).astype(float) + m.bias).tolist()))
-                best = [max(bag, key=lambda w: (known[w], w)) for bag in bags]
-                if y and best:
-                    best = list({w for w in best if known[w] > 0} or {max(best, key=lambda w: (known[w], w))})
-                words += best
-                ys += [y] * len(best)
-                ds += [known[w] for w in best]
+                for bags, y in zip(slab, labels[lo:]):
+                    best = [max(bag, key=lambda w: (known[w], w)) for bag in bags]
+                    if y and best:
+                        best = list({w for w in best if known[w] > 0} or {max(best, key=lambda w: (known[w], w))})
+                    words += best
+                    ys += [y] * len(best)
+                    ds += [known[w] for w in best]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ys, pa.int32()), pa.array(ds, pa.float64())], ["word", "y", "d"])
 
     return docs.select("text", "y").mapInArrow(run, "word string, y int, d double").groupBy("word", "y").agg(F.count("*").alias("n"), F.max("d").alias("d"))
