@@ -47,7 +47,9 @@ _PARTS = 64
 class Params:
     """``max_docs`` bounds the labelled documents of each class that are trained on, ``max_words``
     the distinct windows of each class, ``landmarks`` the Nystroem basis.  A toxic document whose best
-    witness is decided below ``floor``, or is not ``odds`` times as common in toxic documents, is no evidence of its label."""
+    witness is decided below ``floor``, or is not ``odds`` times as common in toxic documents, is no evidence of its label.
+    ``evidence`` is the log-likelihood from which a window of the first machine is toxic: insults of a language that
+    few documents are in stand in few of them."""
 
     decay: float = 0.5
     max_span: int = 6
@@ -58,7 +60,7 @@ class Params:
     floor: float = -0.5
     odds: float = 8.0
     cost: float = 2.0
-    evidence: float = 20.0
+    evidence: float = 12.0
     seed: int = 7
 
 

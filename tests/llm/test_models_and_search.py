@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.llm import multiprobe_lsh, pu_quality, queries, subsequence_svm, taat_topk, warc_salvage
 
 SF = "/root/testdata/sf0.01"
+SF_LARGE = "/root/testdata/sf0.1"
 
 
 def test_kernel_equals_its_definition():
@@ -69,6 +70,14 @@ def test_witnesses_of_sentences(spark):
     assert ("^moron$", 1) in want and ("^stupid$", 1) in want
 
 
+def test_toxicity_held_out_at_scale(spark):
+    """Insults of every language are learnt where each has some dozens of toxic documents."""
+    labels = spark.read.parquet(f"{SF_LARGE}/labels.parquet")
+    got = queries.op1_toxicity(spark, SF_LARGE).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
+    share = {r["toxic"]: r["share"] for r in got}
+    assert share[1] >= 0.9 and share[0] <= 0.01
+
+
 def test_toxicity_held_out(spark, documents, nothing):
     out = queries.op1_toxicity(spark, SF)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
