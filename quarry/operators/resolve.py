@@ -8,6 +8,8 @@ callee_name, line, column, is_method, receiver)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,82 @@ def resolve(calls: DataFrame, files: DataFrame, chunks: DataFrame, imports: Data
     kept = [c for c in calls.columns if c != "resolved_chunk_id"]
     return out.select(*kept, F.coalesce("in_file", "via_import", "anywhere").alias("resolved_chunk_id"))
 
+#: Bytes of unique symbols that are broadcast; more meet the names that are called by shuffle.
+BROADCAST_BYTES = 8 << 20
+_OWN, _BY_NAME, _BY_DEFAULT, _LATE = -1, 0, 1, 2
+
+
+def _asked(imports: Column) -> Column:
+    """What the imports of a file stand for in plain calls: an array of ``local, imp, source, desired, by_default``."""
+
+    def one(i: Column) -> Column:
+        local, default = F.coalesce(i["alias"], i["symbol"]), F.coalesce(i["is_default"], F.lit(False))
+        desired = F.when(i["symbol"].isNotNull() & (i["symbol"] != "*"), i["symbol"]).when(default, local)
+        return F.struct(local.alias("local"), i["ord"].alias("imp"), i["source"].alias("source"), desired.alias("desired"), (default & i["symbol"].isNull()).alias("by_default"))
+
+    return F.filter(F.transform(imports, one), lambda b: b["local"].isNotNull() & b["desired"].isNotNull())
+
+
+def _context(files: DataFrame, chunks: DataFrame, lone: DataFrame, imports: Column) -> DataFrame:
+    """``file_id, __context``: a file's own unique symbols, those of the files that its sources may mean, and what renamed symbols are anywhere."""
+    none = F.lit(None).cast("string")
+    asked = files.select("file_id", "path", P.stored_language(F.col("lang"), F.col("path")).alias("lang"), _asked(imports).alias("__asked"))
+    sources = F.transform(F.array_distinct(F.transform("__asked", lambda b: b["source"])), lambda s: F.struct(s.alias("source"), none.alias("desired")))
+    renamed = F.transform(F.array_distinct(F.transform(F.filter("__asked", lambda b: b["desired"] != b["local"]), lambda b: b["desired"])), lambda d: F.struct(none.alias("source"), d.alias("desired")))
+    each = asked.select("file_id", "path", "lang", F.explode(F.concat(sources, renamed)).alias("__one")).select("file_id", "path", "lang", "__one.*")
+    keys = F.when(F.col("desired").isNull(), import_paths(F.col("path"), F.col("lang"), F.col("source"))).otherwise(F.array("desired"))
+    each = each.select("file_id", "source", F.col("desired").isNull().alias("__path"), F.posexplode(keys).alias("at", "__key"))
+    own = unique_symbols_in_file(chunks)
+    exports = own.select("file_id", F.lit(_BY_NAME).alias("step"), "symbol", "chunk_id").unionByName(only_functions(chunks).select("file_id", F.lit(_BY_DEFAULT).alias("step"), F.lit(None).cast("string").alias("symbol"), "chunk_id"))
+    placed = files.select("file_id", F.lit(True).alias("__path"), F.col("path").alias("__key")).join(exports, "file_id").drop("file_id")
+    late = lone.select(F.lit(False).alias("__path"), F.col("symbol").alias("__key"), F.lit(_LATE).alias("step"), "symbol", "chunk_id")
+    met = each.join(placed.unionByName(late), ["__path", "__key"])
+    met = met.select("file_id", "step", "source", F.when(F.col("__path"), F.col("at")).otherwise(1 << 30).alias("at"), "symbol", "chunk_id")
+    met = met.unionByName(own.select("file_id", F.lit(_OWN).alias("step"), none.alias("source"), F.lit(0).alias("at"), "symbol", "chunk_id"))
+    return met.groupBy("file_id").agg(F.collect_list(F.struct("step", "source", "at", "symbol", "chunk_id")).alias("__context"))
+
+
+def _scope(context: Column, asked: Column) -> Column:
+    """Names to ``chunk_id, late``: own symbols, else the first success along the imports; late: an earlier import of the name may succeed anywhere."""
+    own = F.transform(F.filter(context, lambda e: e["step"] == _OWN), lambda e: F.struct(e["symbol"].alias("name"), F.struct(e["chunk_id"].alias("chunk_id"), F.lit(False).alias("late")).alias("to")))
+
+    def met(e: Column, b: Column) -> Column:
+        by_path = (b["source"] == e["source"]) & F.when(e["step"] == _BY_NAME, b["desired"] == e["symbol"]).otherwise(b["by_default"])
+        return F.when(e["step"] == _LATE, (b["desired"] == e["symbol"]) & (b["desired"] != b["local"])).otherwise(by_path)
+
+    hits = lambda e: F.transform(F.filter(asked, lambda b: met(e, b)), lambda b: F.struct(b["local"].alias("local"), b["imp"].alias("imp"), e["at"].alias("at"), e["step"].alias("step"), e["chunk_id"].alias("chunk_id")))
+    ranked = F.array_sort(F.flatten(F.transform(F.filter(context, lambda e: e["step"] != _OWN), hits)))
+    first = F.filter(ranked, lambda h, i: (i == 0) | (F.get(ranked, i - 1)["local"] != h["local"]))
+    free = F.filter(first, lambda h: ~F.exists(context, lambda e: (e["step"] == _OWN) & (e["symbol"] == h["local"])))
+    before = lambda h: F.exists(asked, lambda b: (b["local"] == h["local"]) & (b["desired"] == b["local"]) & (b["imp"] < h["imp"]))
+    via = F.transform(free, lambda h: F.struct(h["local"].alias("name"), F.struct(h["chunk_id"].alias("chunk_id"), before(h).alias("late")).alias("to")))
+    return F.map_from_entries(F.concat(own, via))
+
+
+def resolve_plain(files: DataFrame, chunks: DataFrame, lone: DataFrame, imports: Column, names: Column, calls: Callable[..., DataFrame], most: int = BROADCAST_BYTES) -> DataFrame:
+    """What ``resolve`` finds for calls without receivers, where a row of ``files`` holds what its imports and calls are made from.
+
+    ``imports`` and ``names`` make a file's imports and the names it calls from its row; ``calls(files, *kept)`` makes its calls,
+    with ``callee_name`` and the columns to keep.  What names stand for is gathered by file and meets the files' rows once:
+    neither calls nor imports travel.  ``lone``: the project's unique symbols, read several times.  A row gives its calls once,
+    whatever its id.
+    """
+    context = _context(files, chunks, lone, imports)
+    scoped = files.join(context, "file_id", "left")
+    few = (lone.agg(F.sum(F.octet_length("symbol") + 64)).first()[0] or 0) <= most
+    if not few:  # a name of a file at most once, by shuffle
+        called = files.select("file_id", F.explode(F.array_distinct(names)).alias("symbol")).join(lone.hint("merge"), "symbol")
+        scoped = scoped.join(called.groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("symbol", "chunk_id"))).alias("__lone")), "file_id", "left")
+    scoped = scoped.withColumn("__context", F.coalesce("__context", F.array().cast(context.schema["__context"].dataType))).withColumn("__asked", _asked(imports))
+    scoped = scoped.withColumn("__scope", _scope(F.col("__context"), F.col("__asked"))).drop("__context", "__asked")
+    if few:
+        found = calls(scoped, "__scope").join(F.broadcast(lone.select(F.col("symbol").alias("callee_name"), F.col("chunk_id").alias("__anywhere"))), "callee_name", "left")
+    else:
+        found = calls(scoped, "__scope", "__lone").withColumn("__anywhere", F.try_element_at("__lone", F.col("callee_name"))).drop("__lone")
+    found = found.withColumn("__to", F.try_element_at("__scope", F.col("callee_name")))
+    anywhere = F.col("__to").isNull() | (F.col("__to.late") & F.col("__anywhere").isNotNull())
+    return found.withColumn("resolved_chunk_id", F.when(anywhere, F.col("__anywhere")).otherwise(F.col("__to.chunk_id"))).drop("__scope", "__anywhere", "__to")
+
 
 def _java(package: Column) -> Column:
     out = F.lit(False)

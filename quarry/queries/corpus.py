@@ -38,11 +38,16 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites: the tokens of all lines of a document, but for the one that opens the first line."""
-    lines = files(spark, sf_dir).select("file_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    at = lines.select("file_id", (F.col("line") + 1).alias("line"), F.posexplode(T.tokens(F.col("words"))).alias("pos", "callee_name")).where("pos > 0 or line > 1")
+    return call_sites(files(spark, sf_dir))
+
+
+def call_sites(texts: DataFrame, *kept: str) -> DataFrame:
+    """The call sites of ``texts(file_id, text)``, and the columns to keep."""
+    lines = texts.select("file_id", *kept, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
+    at = lines.select("file_id", *kept, (F.col("line") + 1).alias("line"), F.posexplode(T.tokens(F.col("words"))).alias("pos", "callee_name")).where("pos > 0 or line > 1")
     return at.select(
         ((F.col("file_id") * 100000 + F.col("line")) * 100000 + F.col("pos")).alias("call_id"), F.col("file_id").alias("caller_chunk_id"), "callee_name", "line",
-        F.col("pos").alias("column"), F.lit(False).alias("is_method"), F.lit(None).cast("string").alias("receiver"),
+        F.col("pos").alias("column"), F.lit(False).alias("is_method"), F.lit(None).cast("string").alias("receiver"), *kept,
     )
 
 
