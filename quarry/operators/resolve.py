@@ -96,24 +96,26 @@ BROADCAST_BYTES = 8 << 20
 _OWN, _BY_NAME, _BY_DEFAULT, _LATE = -1, 0, 1, 2
 
 
-def _asked(imports: Column) -> Column:
-    """What the imports of a file stand for in plain calls: an array of ``local, imp, source, desired, by_default``."""
+def _named(i: Column) -> Column:
+    return i["symbol"].isNotNull() & (i["symbol"] != "*")
 
-    def one(i: Column) -> Column:
-        local, default = F.coalesce(i["alias"], i["symbol"]), F.coalesce(i["is_default"], F.lit(False))
-        desired = F.when(i["symbol"].isNotNull() & (i["symbol"] != "*"), i["symbol"]).when(default, local)
-        return F.struct(local.alias("local"), i["ord"].alias("imp"), i["source"].alias("source"), desired.alias("desired"), (default & i["symbol"].isNull()).alias("by_default"))
 
-    return F.filter(F.transform(imports, one), lambda b: b["local"].isNotNull() & b["desired"].isNotNull())
+def _desired(i: Column) -> Column:
+    """The symbol that a plain call of an import's local name asks for."""
+    return F.when(_named(i), i["symbol"]).when(i["is_default"], F.coalesce(i["alias"], i["symbol"]))
+
+
+def _renamed(i: Column) -> Column:
+    return i["alias"].isNotNull() & _named(i) & (i["alias"] != i["symbol"])
 
 
 def _context(files: DataFrame, chunks: DataFrame, lone: DataFrame, imports: Column) -> DataFrame:
     """``file_id, __context``: a file's own unique symbols, those of the files that its sources may mean, and what renamed symbols are anywhere."""
     none = F.lit(None).cast("string")
-    asked = files.select("file_id", "path", P.stored_language(F.col("lang"), F.col("path")).alias("lang"), _asked(imports).alias("__asked"))
-    sources = F.transform(F.array_distinct(F.transform("__asked", lambda b: b["source"])), lambda s: F.struct(s.alias("source"), none.alias("desired")))
-    renamed = F.transform(F.array_distinct(F.transform(F.filter("__asked", lambda b: b["desired"] != b["local"]), lambda b: b["desired"])), lambda d: F.struct(none.alias("source"), d.alias("desired")))
-    each = asked.select("file_id", "path", "lang", F.explode(F.concat(sources, renamed)).alias("__one")).select("file_id", "path", "lang", "__one.*")
+    sources = F.transform(F.array_distinct(F.transform("__imports", lambda i: i["source"])), lambda x: F.struct(x.alias("source"), none.alias("desired")))
+    renamed = F.transform(F.array_distinct(F.transform(F.filter("__imports", _renamed), lambda i: i["symbol"])), lambda x: F.struct(none.alias("source"), x.alias("desired")))
+    each = files.select("file_id", "path", P.stored_language(F.col("lang"), F.col("path")).alias("lang"), imports.alias("__imports"))
+    each = each.select("file_id", "path", "lang", F.explode(F.concat(sources, renamed)).alias("__one")).select("file_id", "path", "lang", "__one.*")
     keys = F.when(F.col("desired").isNull(), import_paths(F.col("path"), F.col("lang"), F.col("source"))).otherwise(F.array("desired"))
     each = each.select("file_id", "source", F.col("desired").isNull().alias("__path"), F.posexplode(keys).alias("at", "__key"))
     own = unique_symbols_in_file(chunks)
@@ -126,19 +128,21 @@ def _context(files: DataFrame, chunks: DataFrame, lone: DataFrame, imports: Colu
     return met.groupBy("file_id").agg(F.collect_list(F.struct("step", "source", "at", "symbol", "chunk_id")).alias("__context"))
 
 
-def _scope(context: Column, asked: Column) -> Column:
+def _scope(context: Column, imports: Column) -> Column:
     """Names to ``chunk_id, late``: own symbols, else the first success along the imports; late: an earlier import of the name may succeed anywhere."""
     own = F.transform(F.filter(context, lambda e: e["step"] == _OWN), lambda e: F.struct(e["symbol"].alias("name"), F.struct(e["chunk_id"].alias("chunk_id"), F.lit(False).alias("late")).alias("to")))
+    local = lambda i: F.coalesce(i["alias"], i["symbol"])
 
-    def met(e: Column, b: Column) -> Column:
-        by_path = (b["source"] == e["source"]) & F.when(e["step"] == _BY_NAME, b["desired"] == e["symbol"]).otherwise(b["by_default"])
-        return F.when(e["step"] == _LATE, (b["desired"] == e["symbol"]) & (b["desired"] != b["local"])).otherwise(by_path)
+    def met(e: Column, i: Column) -> Column:
+        by_name = (_desired(i) == e["symbol"]) & (i["source"] == e["source"])
+        by_default = i["is_default"] & i["symbol"].isNull() & (i["source"] == e["source"])
+        return F.when(e["step"] == _BY_NAME, by_name).when(e["step"] == _BY_DEFAULT, by_default).otherwise(_renamed(i) & (i["symbol"] == e["symbol"]))
 
-    hits = lambda e: F.transform(F.filter(asked, lambda b: met(e, b)), lambda b: F.struct(b["local"].alias("local"), b["imp"].alias("imp"), e["at"].alias("at"), e["step"].alias("step"), e["chunk_id"].alias("chunk_id")))
+    hits = lambda e: F.transform(F.filter(imports, lambda i: met(e, i) & local(i).isNotNull()), lambda i: F.struct(local(i).alias("local"), i["ord"].alias("imp"), e["at"].alias("at"), e["step"].alias("step"), e["chunk_id"].alias("chunk_id")))
     ranked = F.array_sort(F.flatten(F.transform(F.filter(context, lambda e: e["step"] != _OWN), hits)))
-    first = F.filter(ranked, lambda h, i: (i == 0) | (F.get(ranked, i - 1)["local"] != h["local"]))
+    first = F.filter(ranked, lambda h, n: (n == 0) | (F.get(ranked, n - 1)["local"] != h["local"]))
     free = F.filter(first, lambda h: ~F.exists(context, lambda e: (e["step"] == _OWN) & (e["symbol"] == h["local"])))
-    before = lambda h: F.exists(asked, lambda b: (b["local"] == h["local"]) & (b["desired"] == b["local"]) & (b["imp"] < h["imp"]))
+    before = lambda h: F.exists(imports, lambda i: (local(i) == h["local"]) & (_desired(i) == h["local"]) & (i["ord"] < h["imp"]))
     via = F.transform(free, lambda h: F.struct(h["local"].alias("name"), F.struct(h["chunk_id"].alias("chunk_id"), before(h).alias("late")).alias("to")))
     return F.map_from_entries(F.concat(own, via))
 
@@ -157,8 +161,8 @@ def resolve_plain(files: DataFrame, chunks: DataFrame, lone: DataFrame, imports:
     if not few:  # a name of a file at most once, by shuffle
         called = files.select("file_id", F.explode(F.array_distinct(names)).alias("symbol")).join(lone.hint("merge"), "symbol")
         scoped = scoped.join(called.groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("symbol", "chunk_id"))).alias("__lone")), "file_id", "left")
-    scoped = scoped.withColumn("__context", F.coalesce("__context", F.array().cast(context.schema["__context"].dataType))).withColumn("__asked", _asked(imports))
-    scoped = scoped.withColumn("__scope", _scope(F.col("__context"), F.col("__asked"))).drop("__context", "__asked")
+    scoped = scoped.withColumn("__context", F.coalesce("__context", F.array().cast(context.schema["__context"].dataType))).withColumn("__imports", imports)
+    scoped = scoped.withColumn("__scope", _scope(F.col("__context"), F.col("__imports"))).drop("__context", "__imports")
     if few:
         found = calls(scoped, "__scope").join(F.broadcast(lone.select(F.col("symbol").alias("callee_name"), F.col("chunk_id").alias("__anywhere"))), "callee_name", "left")
     else:
