@@ -156,12 +156,14 @@ def resolve_plain(files: DataFrame, chunks: DataFrame, lone: DataFrame, imports:
     whatever its id.
     """
     context = _context(files, chunks, lone, imports)
-    scoped = files.join(context, "file_id", "left")
+    keyed = files.withColumn("__key", F.coalesce("file_id", F.xxhash64(names)))  # rows without an id are dealt out by what they call
+    scoped = keyed.join(context.withColumnRenamed("file_id", "__key"), "__key", "left")
     few = (lone.agg(F.sum(F.octet_length("symbol") + 64)).first()[0] or 0) <= most
-    if not few:  # a name of a file at most once, by shuffle
-        called = files.select("file_id", F.explode(F.array_distinct(names)).alias("symbol")).join(lone.hint("merge"), "symbol")
-        scoped = scoped.join(called.groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("symbol", "chunk_id"))).alias("__lone")), "file_id", "left")
-    scoped = scoped.withColumn("__context", F.coalesce("__context", F.array().cast(context.schema["__context"].dataType))).withColumn("__imports", imports)
+    if not few:  # a name of a file at most once, by shuffle; what a name is anywhere holds for all rows of a key
+        called = keyed.select("__key", F.explode(F.array_distinct(names)).alias("symbol")).join(lone.hint("merge"), "symbol")
+        scoped = scoped.join(called.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("symbol", "chunk_id"))).alias("__lone")), "__key", "left")
+    mine = F.when(F.col("file_id").isNotNull(), F.col("__context"))
+    scoped = scoped.withColumn("__context", F.coalesce(mine, F.array().cast(context.schema["__context"].dataType))).withColumn("__imports", imports)
     scoped = scoped.withColumn("__scope", _scope(F.col("__context"), F.col("__imports"))).drop("__context", "__imports")
     if few:
         found = calls(scoped, "__scope").join(F.broadcast(lone.select(F.col("symbol").alias("callee_name"), F.col("chunk_id").alias("__anywhere"))), "callee_name", "left")

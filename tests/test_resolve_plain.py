@@ -1,6 +1,7 @@
 """Calls without receivers, resolved from the files' rows: as ``resolve`` does, and without dealing out calls."""
 
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,8 +65,10 @@ def write(spark, tmp_path, rows):
     return {(r["call_id"], r["resolved_chunk_id"]) for r in entry.queries()["resolve_via_imports"](spark, str(tmp_path)).collect()}
 
 
-def test_odd_documents(spark, tmp_path):
+@pytest.mark.parametrize("most", [resolve.BROADCAST_BYTES, 0])
+def test_odd_documents(spark, tmp_path, monkeypatch, most):
     """Null, empty and blank texts, a document without a successor, and a word of its own, of the next and of one file."""
+    monkeypatch.setattr(resolve, "resolve_plain", partial(resolve.resolve_plain, most=most))
     rows = [(1, "run the next stop", "en", "s", 0), (2, "the\nrun only", "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, " \n only", "en", "s", 0), (9, "the the", "en", "s", 0), (None, "x only", "en", "s", 0)]
     at = lambda doc, line, pos: (doc * 100000 + line) * 100000 + pos
     # "the" opens 2 and 9: document 1 has it of the next, 9 of itself; "only" opens 5 alone; a null id names no file
