@@ -117,17 +117,17 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def slabs(self, texts: pa.Array | list[str | None], end: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def slabs(self, texts: pa.Array | list[str | None], end: int | None = None, limit: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """``first row, last row + 1, ids, edges``: the ids of the rows one after another, ``end`` behind each, and where each begins.
 
-        The rows are taken in slabs of about ``SLAB`` bytes of text; a null is empty.
+        The rows are taken in slabs of about ``limit`` bytes of text; a null is empty.
         """
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         lo = 0
         while lo < len(column):
             base = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, base + SLAB, "right")))
+            hi = max(lo + 1, int(np.searchsorted(size, base + limit, "right")))
             yield lo, hi, *self._slab(pc.fill_null(column.slice(lo, hi - lo), ""), end)
             lo = hi
 

@@ -2,17 +2,19 @@
 
 import math
 import re
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm import bound_packing, huffman_ids, line_edit_join, runtime, simhash_bk, source_mixing
+from quarry.llm import bound_packing, huffman_ids, line_edit_join, runtime, simhash_bk, source_mixing, token_ids
 from quarry.llm.runtime import Workspace, connected_components
 from quarry.llm.token_ids import Encoder, tokenizer_file
 
@@ -324,6 +326,31 @@ def test_token_files(spark, documents, nothing, monkeypatch):
     assert huffman_ids.round_trip(spark, nothing).count() == 0
 
 
+def test_tokenizing_remembers_little(spark, tmp_path, monkeypatch):
+    """Over 2,100,000 different words among common ones, what a worker remembers for token files stays below 200 MB."""
+
+    class Documents:
+        select, mapInArrow = (lambda self, *columns: self), (lambda self, run, schema: run)
+
+    class Task:
+        get, partitionId = classmethod(lambda c: c), classmethod(lambda c: 0)
+
+    def batches():
+        for i in range(2100):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([" ".join(np.base_repr(j, 36).lower() for j in range(1000 * i, 1000 * i + 1000)) + " the" * 6000])], ["doc_id", "text"])
+
+    def held(e):
+        return sys.getsizeof(e.known) + sum(map(sys.getsizeof, e.known)) + 32 * len(e.known) + sum(x.nbytes for x in (e.pool, e.starts, e.sizes, e.uses))
+
+    monkeypatch.setattr("pyspark.TaskContext", Task)
+    token_ids._ENCODERS.clear()
+    rows, most = 0, 0
+    for b in huffman_ids.tokenize(Documents(), "byte_bpe_50k.json", str(tmp_path))(batches()):
+        rows, most = rows + b.num_rows, max(most, held(token_ids._ENCODERS["byte_bpe_50k.json"]))
+    token_ids._ENCODERS.clear()
+    assert rows == 2100 and most < 200e6
+
+
 def test_packing(spark, documents, nothing):
     out = bound_packing.pack_documents(spark, documents, capacity=128).collect()
     rows, want = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()], []
