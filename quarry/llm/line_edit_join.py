@@ -36,6 +36,10 @@ from quarry.llm.runtime import Workspace, connected_components, small_enough
 SPLIT = 2048
 _DEPTH = 4
 _SALTS = 16
+#: Rows that a task gathers before it hands them on, characters of lines likewise, and lines that it remembers having met.
+_ROWS = 1 << 17
+_CHARS = 4 << 20
+_SEEN = 1 << 20
 
 
 def allowed(length: int, edits: int) -> int:
@@ -169,9 +173,12 @@ def _signed(h: int) -> int:
 def occurrences(documents: DataFrame) -> DataFrame:
     """``row, doc_id, pos, id`` of every line that is not blank; ``row`` names (doc_id, text)."""
 
+    def out(rows, docs, places, ids):
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64())], ["row", "doc_id", "pos", "id"])
+
     def run(batches):
+        rows, docs, places, ids = [], [], [], []
         for b in batches:
-            rows, docs, places, ids = [], [], [], []
             for row, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
                 for i, line in enumerate((text or "").split("\n")):
                     if line and not line.isspace():
@@ -179,7 +186,10 @@ def occurrences(documents: DataFrame) -> DataFrame:
                         docs.append(doc)
                         places.append(i)
                         ids.append(line_id(line))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64())], ["row", "doc_id", "pos", "id"])
+                if len(rows) >= _ROWS:
+                    yield out(rows, docs, places, ids)
+                    rows, docs, places, ids = [], [], [], []
+        yield out(rows, docs, places, ids)
 
     return documents.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, pos int, id long")
 
@@ -192,19 +202,23 @@ def shared_keys(documents: DataFrame, edits: int) -> DataFrame:
     """``key, id`` (kind in the lowest bit) of the keys that an indexed line shares with another line."""
 
     def emit(batches):
-        seen: set[int] = set()  # ids of this partition's lines
+        seen: set[int] = set()  # ids of this partition's lines; once full it starts anew, and a line met again only comes twice
+        keys, ids = [], []
         for b in batches:
-            keys, ids = [], []
             for text in b.column("text").to_pylist():
                 for line in (text or "").split("\n"):
                     if not line or line.isspace() or (own := line_id(line)) in seen:
                         continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
                     seen.add(own)
                     for key, kind, _, _ in keys_of(line, edits):
                         keys.append(_signed(key))
                         ids.append(own | kind)
-            for lo in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 17)], pa.int64()), pa.array(ids[lo : lo + (1 << 17)], pa.int64())], ["key", "id"])
+                    if len(keys) >= _ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+                        keys, ids = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
 
     def pick(batches):
         tail_k, tail_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -263,9 +277,15 @@ def links(spark: SparkSession, ws: Workspace, documents: DataFrame, edits: int)
     few = small_enough(spark, wanted.count(), 16, 32 << 20)
 
     def lines(batches):
+        found, size = {}, 0
         for b in batches:
-            found = {line_id(x): x for t in b.column("text").to_pylist() for x in (t or "").split("\n") if x and not x.isspace()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "words"])
+            for t in b.column("text").to_pylist():
+                found.update({line_id(x): x for x in (t or "").split("\n") if x and not x.isspace()})
+                size += len(t or "")
+                if size >= _CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "words"])
+                    found, size = {}, 0
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "words"])
 
     every = documents.select("text").mapInArrow(lines, "line long, words string")
     texts = every.join(F.broadcast(wanted) if few else wanted, F.col("line") == F.col("want"), "left_semi")

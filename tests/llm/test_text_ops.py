@@ -177,6 +177,38 @@ def test_line_dedup_splits_hot_keys(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(brute_lines(rows))
 
 
+def test_line_keys_are_handed_on_while_a_batch_is_read(monkeypatch):
+    """One batch of long texts: no more than some 131,072 keys are held at once, and lines met after a full memory change nothing."""
+
+    class Documents:
+        select, runs = (lambda self, *columns: self), []
+
+        def mapInArrow(self, run, schema):
+            self.runs.append(run)
+            raise StopIteration
+
+        sparkSession = property(lambda self: self)
+        conf = property(lambda self: {"spark.sql.shuffle.partitions": "4"})
+
+    documents = Documents()
+    with pytest.raises(StopIteration):
+        line_edit_join.shared_keys(documents, 2)
+    texts = ["\n".join(f"line {i} of text {j} with some words" for i in range(400)) for j in range(60)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    want = {(line_edit_join._signed(k), line_edit_join.line_id(x) | kind) for t in texts[:60] for x in t.split("\n") for k, kind, _, _ in line_edit_join.keys_of(x, 2)}
+    for seen in (1 << 20, 1000):
+        monkeypatch.setattr(line_edit_join, "_SEEN", seen, raising=False)
+        calls = []
+        with monkeypatch.context() as m:
+            keys_of = line_edit_join.keys_of
+            m.setattr(line_edit_join, "keys_of", lambda *a: calls.append(1) or keys_of(*a))
+            most, before, got = 0, 0, set()
+            for b in documents.runs[0]([batch]):
+                most, before = max(most, len(calls) - before), len(calls)
+                got |= set(zip(b.column("key").to_pylist(), b.column("id").to_pylist()))
+        assert got == want and most < 20_000 and (len(calls) == 24_000) == (seen > 1000)
+
+
 def test_line_dedup_without_broadcasts(spark, monkeypatch):
     """Beyond the size at which tables are broadcast: the same rows."""
     monkeypatch.setattr(line_edit_join, "small_enough", lambda *a, **k: False)
